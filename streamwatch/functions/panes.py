@@ -4,31 +4,44 @@ A sliding window of ``size`` advancing every ``slide`` (``size % slide == 0``)
 is the sum of ``k = size / slide`` consecutive panes of length ``slide``.
 Spark's native ``window(ts, size, slide)`` expands *every event* into ``k``
 rows through a ``k``-way Expand (720 projections for 1 h / 5 s, which also
-compiles slowly). Here each event is counted once into its pane, and only
-the pane totals are fanned out to window starts, always through hash
-aggregation with map-side partial combine, so no per-key sort is involved and
-a hot key cannot pin one task.
-
-For large ``k`` the fan-out is split in two levels, ``k = b * m``:
+compiles slowly). Here each event is counted once into its pane (hash
+aggregate with map-side combine), and the pane totals are turned into window
+totals by one of two plans:
+
+``sweep`` (default). Number window starts in pane units. Pane ``p`` with
+total ``c`` is inside windows ``p - k + 1 .. p``, so it adds ``+c`` at
+position ``p - k + 1`` and ``-c`` at ``p + 1``. A running sum over a key's
+sorted boundary positions is the window total, constant between two
+neighbouring boundaries; each positive segment is exploded straight into its
+output rows. Work is O(panes + output rows) and nothing is aggregated after
+the explode. Running sums are computed per (key, block of positions) and
+shifted by a carry from the earlier blocks of the key (a tiny per-key table),
+so no window-function group ever holds more than ``2 * block`` rows, however
+hot the key.
+
+``fanout``. Each pane total is copied to its ``k`` window starts and summed
+by hash aggregation, in two levels ``k = b * m`` for large ``k``:
 
     S[t] = sum_{r < b} c[t + r]          (each pane fans out b times)
     W[w] = sum_{q < m} S[w + q * b]      (each partial sum fans out m times)
 
-so a dense key costs ``b + m`` (about ``2 * sqrt(k)``) rows per pane instead
-of ``k``; a sparse key costs about the output size, which is the minimum.
+Simple, but when windows rarely share panes (sparse keys) the final
+aggregate sees as many groups as rows, which is the slow case.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .time import duration_us, to_us
 
 # Above this many panes per window the fan-out uses the two-level form.
 TWO_LEVEL_MIN_PANES = 64
+# Boundary positions per running-sum group in the sweep plan.
+SWEEP_BLOCK = 4096
 
 
 def pane_index(ts, slide_us: int) -> Column:
@@ -60,8 +73,38 @@ def _fan(df: DataFrame, keys: list[str], pane: str, n: str, width: int, step: in
     return fanned.groupBy(pane, *keys).agg(F.sum(n).alias(n))
 
 
+def sweep(panes: DataFrame, keys: list[str], k: int, pane: str = "pane", n: str = "n",
+          block: int = SWEEP_BLOCK) -> DataFrame:
+    """Window totals from pane totals by a boundary sweep (see module doc)."""
+    bounds = F.array(F.struct((F.col(pane) - F.lit(k - 1)).alias("pos"), F.col(n).alias("d")),
+                     F.struct((F.col(pane) + F.lit(1)).alias("pos"), (-F.col(n)).alias("d")))
+    d = (panes.select(*keys, F.explode(bounds).alias("_e"))
+              .select(*keys, "_e.pos", "_e.d")
+              .groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
+              .withColumn("_blk", F.floor(F.col("pos") / F.lit(block)).cast("long")))
+    wb = Window.partitionBy(*keys, "_blk").orderBy("pos")
+    d = (d.withColumn("_run", F.sum("d").over(
+            wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+          .withColumn("_next", F.lead("pos").over(wb)))
+    # per (key, block): total change and first position; carry = sum of earlier blocks
+    wk = Window.partitionBy(*keys).orderBy("_blk")
+    summ = (d.groupBy(*keys, "_blk").agg(F.sum("d").alias("_tot"), F.min("pos").alias("_first"))
+             .withColumn("_carry", F.coalesce(F.sum("_tot").over(
+                 wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("_next_first", F.lead("_first").over(wk))
+             .select(*[F.col(c).alias(f"_s_{c}") for c in keys], F.col("_blk").alias("_s_blk"),
+                     "_carry", "_next_first"))
+    cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in keys] + [F.col("_blk") == F.col("_s_blk")]
+    seg = (d.join(summ, cond)
+            .select(*keys, "pos", (F.col("_run") + F.col("_carry")).alias(n),
+                    F.coalesce("_next", "_next_first").alias("_end"))
+            .where(F.col(n) > 0))
+    return seg.select(*keys, F.explode(F.sequence(F.col("pos"), F.col("_end") - 1)).alias(pane),
+                      F.col(n).cast("long").alias(n))
+
+
 def slide_panes(panes: DataFrame, keys: list[str], k: int, pane: str = "pane",
-                n: str = "n") -> DataFrame:
+                n: str = "n", method: str = "sweep") -> DataFrame:
     """Pane totals -> totals of every window of ``k`` panes, keyed by its first pane.
 
     ``panes`` has one row per (pane, keys) with an additive measure ``n``.
@@ -70,6 +113,8 @@ def slide_panes(panes: DataFrame, keys: list[str], k: int, pane: str = "pane",
     """
     if k == 1:
         return panes
+    if method == "sweep":
+        return sweep(panes, keys, k, pane, n)
     b = split_factor(k)
     if b == 1 or b == k:
         return _fan(panes, keys, pane, n, k, 1)
