@@ -13,11 +13,11 @@ total ``c`` is inside windows ``p - k + 1 .. p``, so it adds ``+c`` at
 position ``p - k + 1`` and ``-c`` at ``p + 1``. A running sum over a key's
 sorted boundary positions is the window total, constant between two
 neighbouring boundaries; each positive segment is exploded straight into its
-output rows. Work is O(panes + output rows) and nothing is aggregated after
-the explode. Running sums are computed per (key, block of positions) and
-shifted by a carry from the earlier blocks of the key (a tiny per-key table),
-so no window-function group ever holds more than ``2 * block`` rows, however
-hot the key.
+output rows. Work is O(panes + output rows), the input is read once, and
+nothing is aggregated after the explode. The running sum is a window
+partitioned by key over *boundary positions*, at most two per pane of the
+key, so its group size is bounded by time span / slide (12.6 M rows for one
+key over a year of 5 s panes) however many events the key has.
 
 ``fanout``. Each pane total is copied to its ``k`` window starts and summed
 by hash aggregation, in two levels ``k = b * m`` for large ``k``:
@@ -40,8 +40,6 @@ from .time import duration_us, to_us
 
 # Above this many panes per window the fan-out uses the two-level form.
 TWO_LEVEL_MIN_PANES = 64
-# Boundary positions per running-sum group in the sweep plan.
-SWEEP_BLOCK = 4096
 
 
 def pane_index(ts, slide_us: int) -> Column:
@@ -73,32 +71,18 @@ def _fan(df: DataFrame, keys: list[str], pane: str, n: str, width: int, step: in
     return fanned.groupBy(pane, *keys).agg(F.sum(n).alias(n))
 
 
-def sweep(panes: DataFrame, keys: list[str], k: int, pane: str = "pane", n: str = "n",
-          block: int = SWEEP_BLOCK) -> DataFrame:
+def sweep(panes: DataFrame, keys: list[str], k: int, pane: str = "pane", n: str = "n") -> DataFrame:
     """Window totals from pane totals by a boundary sweep (see module doc)."""
     bounds = F.array(F.struct((F.col(pane) - F.lit(k - 1)).alias("pos"), F.col(n).alias("d")),
                      F.struct((F.col(pane) + F.lit(1)).alias("pos"), (-F.col(n)).alias("d")))
     d = (panes.select(*keys, F.explode(bounds).alias("_e"))
               .select(*keys, "_e.pos", "_e.d")
-              .groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
-              .withColumn("_blk", F.floor(F.col("pos") / F.lit(block)).cast("long")))
-    wb = Window.partitionBy(*keys, "_blk").orderBy("pos")
-    d = (d.withColumn("_run", F.sum("d").over(
-            wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-          .withColumn("_next", F.lead("pos").over(wb)))
-    # per (key, block): total change and first position; carry = sum of earlier blocks
-    wk = Window.partitionBy(*keys).orderBy("_blk")
-    summ = (d.groupBy(*keys, "_blk").agg(F.sum("d").alias("_tot"), F.min("pos").alias("_first"))
-             .withColumn("_carry", F.coalesce(F.sum("_tot").over(
-                 wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("_next_first", F.lead("_first").over(wk))
-             .select(*[F.col(c).alias(f"_s_{c}") for c in keys], F.col("_blk").alias("_s_blk"),
-                     "_carry", "_next_first"))
-    cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in keys] + [F.col("_blk") == F.col("_s_blk")]
-    seg = (d.join(summ, cond)
-            .select(*keys, "pos", (F.col("_run") + F.col("_carry")).alias(n),
-                    F.coalesce("_next", "_next_first").alias("_end"))
+              .groupBy(*keys, "pos").agg(F.sum("d").alias("d")))
+    w = Window.partitionBy(*keys).orderBy("pos")
+    seg = (d.withColumn(n, F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            .withColumn("_end", F.lead("pos").over(w))
             .where(F.col(n) > 0))
+    # a positive running sum always has a later boundary that brings it back to zero
     return seg.select(*keys, F.explode(F.sequence(F.col("pos"), F.col("_end") - 1)).alias(pane),
                       F.col(n).cast("long").alias(n))
 
