@@ -26,8 +26,31 @@ SESSION_DEFAULTS = {
 }
 
 
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def _python_path_for_workers() -> None:
+    """Let local Python workers import this package (stream processors are
+    pickled by reference). On a cluster ship it with ``--py-files`` or
+    ``ship_package``."""
+    parts = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in parts:
+        os.environ["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT] + parts)
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Zip the package into the shared checkpoint folder and add it to every executor's path."""
+    import shutil
+    root = checkpoint_root(spark).rstrip("/")
+    base = os.path.join(root.replace("file:", ""), "pyfiles", "streamwatch")
+    path = shutil.make_archive(base, "zip", PACKAGE_ROOT, "streamwatch")
+    spark.sparkContext.addPyFile(path)
+    return path
+
+
 def get_session(master: str | None = None, app: str = "streamwatch",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+    _python_path_for_workers()
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
