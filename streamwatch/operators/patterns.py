@@ -77,16 +77,22 @@ def followed_by_within(df: DataFrame, key, ts: str, is_first: Column, is_second:
     ev = (df.where(is_first | is_second)
             .select(*keys, ts, *ids, F.when(is_first, F.lit(0)).otherwise(F.lit(1)).alias("_k")))
 
-    # Seconds near a bucket start are copied back, firsts never are.
+    # Seconds near a bucket start are copied back, firsts never are. Every
+    # branch below derives from this one shuffle, so the input is read once.
     b = with_lookahead_buckets(ev, ts, within_us, width, copy_when=F.col("_k") == 1)
     # Nearest later second: scan in descending order with a growing frame (linear time).
     desc = [F.col(ts).desc(), F.col("_k").desc()] + [F.col(i).desc() for i in ids]
     w = (Window.partitionBy(*keys, "_bucket").orderBy(*desc)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     nxt = lambda c: F.last(F.when(F.col("_k") == 1, F.col(c)), ignorenulls=True).over(w)
-    firsts = (b.withColumn("second_ts", nxt(ts))
-               .withColumns({f"second_{i}": nxt(i) for i in ids})
-               .where(F.col("_home") & (F.col("_k") == 0)))
+    # Running "a first has been seen" flag in ascending order (for orphans).
+    asc = [F.col(ts), F.col("_k")] + [F.col(i) for i in ids]
+    w_up = (Window.partitionBy(*keys, "_bucket").orderBy(*asc)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    scanned = (b.withColumn("second_ts", nxt(ts))
+                .withColumns({f"second_{i}": nxt(i) for i in ids})
+                .withColumn("_fseen", F.max(F.when(F.col("_k") == 0, 1).otherwise(0)).over(w_up)))
+    firsts = scanned.where(F.col("_home") & (F.col("_k") == 0))
     ok = F.col("second_ts").isNotNull() & (to_us("second_ts") - to_us(ts) <= F.lit(within_us))
     firsts = firsts.select(
         *keys, F.when(ok, F.lit("matched")).otherwise(F.lit("timeout")).alias("kind"),
@@ -94,10 +100,18 @@ def followed_by_within(df: DataFrame, key, ts: str, is_first: Column, is_second:
         *[F.col(i).alias(f"first_{i}") for i in ids],
         *[F.when(ok, F.col(f"second_{i}")).alias(f"second_{i}") for i in ids])
 
-    # A second is unmatched when its key has no first at or before it.
-    first_seen = ev.where(F.col("_k") == 0).groupBy(*keys).agg(F.min(ts).alias("_first_min"))
-    seconds = ev.where(F.col("_k") == 1).join(first_seen, keys, "left")
-    orphans = seconds.where(F.col("_first_min").isNull() | (F.col("_first_min") > F.col(ts))).select(
+    # A second is unmatched when its key has no first at or before it: none
+    # earlier in its bucket (``_fseen``) and none in an earlier bucket (a
+    # running flag over the key's bucket summaries). Every branch reads window
+    # outputs (so the window and its shuffle are shared) and the join is
+    # null-safe (so no filter is inferred below it).
+    wk = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    prior = (scanned.where("_home").groupBy(*keys, "_bucket").agg(F.max("_fseen").alias("_bf"))
+             .withColumn("_prior", F.coalesce(F.max("_bf").over(wk), F.lit(0)))
+             .select(*[F.col(k).alias(f"_f_{k}") for k in keys], F.col("_bucket").alias("_f_b"), "_prior"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys] + [F.col("_bucket").eqNullSafe(F.col("_f_b"))]
+    seconds = scanned.where(F.col("_home") & (F.col("_k") == 1)).join(prior, cond, "left")
+    orphans = seconds.where((F.col("_fseen") == 0) & (F.coalesce(F.col("_prior"), F.lit(0)) == 0)).select(
         *keys, F.lit("unmatched_second").alias("kind"),
         F.lit(None).cast(df.schema[ts].dataType).alias("first_ts"), F.col(ts).alias("second_ts"),
         *[F.lit(None).cast(df.schema[i].dataType).alias(f"first_{i}") for i in ids],

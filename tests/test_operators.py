@@ -106,3 +106,20 @@ def test_reconcile_null_keys_never_match(spark):
     recs = spark.createDataFrame([(None, BASE), ("x", BASE)], "k string, rt timestamp_ntz")
     r = {(x.k, x.kind) for x in reconcile(pays, recs, "k", "pt", "rt", -5, 5).collect()}
     assert r == {("x", "matched"), (None, "pay_only"), (None, "receipt_only")}
+
+
+@pytest.mark.parametrize("bucket", ["5 minutes", "1 hour", "3650 days"])
+def test_rising_bucketed_scan_equals_single_pass(spark, bucket):
+    from streamwatch.operators.rising import rising_alarm
+    rnd = random.Random(3)
+    rows, t = [], {}
+    for i in range(1500):
+        u = rnd.randrange(4)
+        t[u] = t.get(u, 0) + rnd.choice([1, 2, 5, 30, 400])
+        v = None if rnd.random() < 0.02 else float(rnd.choice([0, 1, 1, 1, 2, 3]) + t[u] // 50)
+        rows.append((i, BASE + timedelta(seconds=t[u]), u, v))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double")
+    single = rising_alarm(df, "user_id", "ts", "value", "3 minutes", "event_id", method="single")
+    multi = rising_alarm(df, "user_id", "ts", "value", "3 minutes", "event_id", bucket=bucket)
+    assert single.count() > 0
+    assert _same(single, multi)
