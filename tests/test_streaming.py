@@ -208,3 +208,28 @@ def test_stream_jobs_on_events_table(spark):
     got = run_available(stream_consecutive(s, "user_id", "ts", pred, 2, "1 hour", "event_id",
                                            delay="30 days")).where("user_id <> -1")
     assert rows_of(got) == rows_of(consecutive(ev, "user_id", "ts", pred, 2, "1 hour", "event_id"))
+
+
+def test_stream_split_writes_main_and_side(spark):
+    from streamwatch.streaming.joins import write_split
+    login = load(spark, "login")
+    s = as_stream(spark, login, "event_time", chunks=3)
+    out = tempfile.mkdtemp(prefix="sw-split-")
+    q = write_split(s, F.col("event_type") == "fail", os.path.join(out, "main"), os.path.join(out, "side"),
+                    name=f"split-{random.randrange(10**9)}", trigger={"availableNow": True})
+    q.awaitTermination()
+    main = spark.read.parquet(os.path.join(out, "main"))
+    side = spark.read.parquet(os.path.join(out, "side"))
+    assert (main.count(), side.count()) == (9, 39)
+
+
+def test_sql_over_streaming_view(spark):
+    from streamwatch.operators.sql import register
+    ad = load(spark, "ad_click")
+    s = as_stream(spark, ad, "event_time", chunks=3, sentinel=sentinel_of(ad, "event_time", province="~"))
+    register(s.withWatermark("event_time", "2 hours"), "sw_ad_stream")
+    q = spark.sql("""SELECT window.start AS window_start, province, count(*) AS n FROM sw_ad_stream
+                     GROUP BY window(event_time, '1 hour'), province""")
+    got = run_available(q).where("province <> '~'")
+    want = window_count(ad, "event_time", ["province"], "1 hour").drop("window_end")
+    assert rows_of(got) == rows_of(want)
