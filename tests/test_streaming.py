@@ -233,3 +233,15 @@ def test_sql_over_streaming_view(spark):
     got = run_available(q).where("province <> '~'")
     want = window_count(ad, "event_time", ["province"], "1 hour").drop("window_end")
     assert rows_of(got) == rows_of(want)
+
+
+@pytest.mark.parametrize("name", ["hot_items", "hot_pages", "uv", "pv_uv_approx", "channel_promo",
+                                  "ad_by_region", "ad_blacklist", "login_fail", "order_timeout",
+                                  "reconcile", "reconcile_ok", "temp_rising", "temp_split"])
+def test_stream_jobs_run_on_events(spark, name):
+    """Every job's stream form runs over the sf0.001 events table as a file stream."""
+    from streamwatch.plans.streams import STREAM_JOBS, events_stream
+    sf = "/root/testdata/sf0.001"
+    ev = events_stream(spark, sf)
+    out = run_available(STREAM_JOBS[name](ev, spark, sf, delay="1 hour"))
+    assert out.count() >= 0
