@@ -1,7 +1,10 @@
 """Event-time helpers (P3).
 
-All arithmetic on event time is done on epoch microseconds (``bigint``) so
-pane and bucket numbers are exact integers; results are converted back to the
+All arithmetic on event time is done on epoch microseconds (``bigint``).
+Pane and bucket numbers are ``floor(us / width)`` computed in double
+precision, which is exact: a non-integer quotient lies at least ``1 / width``
+from an integer, more than half an ulp while ``us < 2^53`` (until the year
+2255); results are converted back to the
 caller's timestamp type (``timestamp`` or ``timestamp_ntz``). The session time
 zone must be UTC (see ``streamwatch.session``) so the ``timestamp_ntz`` <->
 ``timestamp`` casts are the identity on wall-clock values.
