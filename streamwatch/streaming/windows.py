@@ -16,8 +16,12 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+import heapq
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.time import duration_us, interval_literal, to_us
 
@@ -57,21 +61,87 @@ def stream_window_count(df: DataFrame, ts: str, keys: list[str], size, slide=Non
                           .alias("window_end"), *keys, out))
 
 
+class _Ranked:
+    """Heap entry ordered so that the *worse* entry is smaller: lower count,
+    then larger key (keys rank ascending, nulls first, as in the batch form)."""
+
+    __slots__ = ("n", "key", "row")
+
+    def __init__(self, n, key, row):
+        self.n, self.key, self.row = n, tuple((v is not None, v) for v in key), row
+
+    def __lt__(self, other):
+        return self.n < other.n or (self.n == other.n and self.key > other.key)
+
+
+class TopNProcessor(StatefulProcessor):
+    """Top N rows per grouping key with an N-entry heap; no state between batches.
+
+    Chained after an append-mode window aggregation, every key of a closed
+    window arrives in the same micro-batch, exactly once, so the rows of one
+    call are the whole window. Memory is O(N) however many keys it has.
+    """
+
+    def __init__(self, n: int, group_cols, key_cols, order_col: str, rank_col: str | None):
+        self.n, self.group_cols, self.key_cols = n, list(group_cols), list(key_cols)
+        self.order_col, self.rank_col = order_col, rank_col
+
+    def init(self, handle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):
+        heap = []
+        for r in rows:
+            e = _Ranked(r[self.order_col], [r[k] for k in self.key_cols], r)
+            if len(heap) < self.n:
+                heapq.heappush(heap, e)
+            elif heap[0] < e:
+                heapq.heapreplace(heap, e)
+        best = sorted(heap, reverse=True)
+        for i, e in enumerate(best):
+            out = {c: e.row[c] for c in self.group_cols}
+            out.update({k: e.row[k] for k in self.key_cols})
+            out[self.order_col] = e.n
+            if self.rank_col:
+                out[self.rank_col] = i + 1
+            yield Row(**out)
+
+    def close(self) -> None:
+        pass
+
+
 def stream_topn(counts: DataFrame, n: int, key_cols: list[str], order_col: str = "n",
-                rank_col: str = "rank") -> DataFrame:
-    """Top N per window on a stream of window counts (chained aggregation, append mode).
+                rank_col: str = "rank", method: str = "heap", salt_buckets: int = 1) -> DataFrame:
+    """Top N per window on a stream of append-mode window counts.
+
+    ``method='heap'`` (default): a stateless ``transformWithState`` per window
+    keeps an N-entry heap while the window's rows stream through, so memory
+    is O(N). With ``salt_buckets > 1`` a window's keys are first cut to their
+    top N per hash bucket of the key (in parallel), then merged per window.
+    ``method='collect'``: ``collect_list`` of (-count, key) structs sorted and
+    sliced -- one group holds every key of a window.
 
-    ``row_number`` is not available on streams; the window's keys are
-    collected as (-count, key) structs, sorted ascending (count descending,
-    then key ascending, the batch tie rule) and cut to N.
+    Ties: count descending, then key ascending (the batch rule).
     """
-    entry = F.struct((-F.col(order_col)).alias("_neg"), *[F.col(k) for k in key_cols])
-    top = (counts.groupBy("window", "window_start", "window_end")
-           .agg(F.slice(F.sort_array(F.collect_list(entry)), 1, n).alias("_top")))
-    return (top.select("window_start", "window_end", F.posexplode("_top").alias("_pos", "_e"))
-               .select("window_start", "window_end", *[F.col(f"_e.{k}").alias(k) for k in key_cols],
-                       (-F.col("_e._neg")).alias(order_col),
-                       (F.col("_pos") + 1).cast("int").alias(rank_col)))
+    if method == "collect":
+        entry = F.struct((-F.col(order_col)).alias("_neg"), *[F.col(k) for k in key_cols])
+        top = (counts.groupBy("window", "window_start", "window_end")
+               .agg(F.slice(F.sort_array(F.collect_list(entry)), 1, n).alias("_top")))
+        return (top.select("window_start", "window_end", F.posexplode("_top").alias("_pos", "_e"))
+                   .select("window_start", "window_end", *[F.col(f"_e.{k}").alias(k) for k in key_cols],
+                           (-F.col("_e._neg")).alias(order_col),
+                           (F.col("_pos") + 1).cast("int").alias(rank_col)))
+    win = ["window_start", "window_end"]
+    fields = [counts.schema[c] for c in win + key_cols + [order_col]]
+    src = counts.select(*win, *key_cols, order_col)
+    if salt_buckets > 1:
+        salted = src.withColumn("_salt", F.pmod(F.xxhash64(*key_cols), F.lit(salt_buckets)))
+        part = T.StructType(fields)
+        src = (salted.groupBy(*win, "_salt")
+               .transformWithState(TopNProcessor(n, win, key_cols, order_col, None), part, "Append", "None"))
+    schema = T.StructType(fields + [T.StructField(rank_col, T.IntegerType())])
+    return (src.groupBy(*win)
+            .transformWithState(TopNProcessor(n, win, key_cols, order_col, rank_col), schema, "Append", "None"))
 
 
 def stream_pv(df: DataFrame, ts: str, size="1 hour", delay="0 seconds") -> DataFrame:

@@ -155,11 +155,13 @@ def test_stream_window_counts(spark, size, slide):
     assert rows_of(got) == rows_of(want)
 
 
-def test_stream_topn(spark):
+@pytest.mark.parametrize("method,salts", [("heap", 1), ("heap", 3), ("collect", 1)])
+def test_stream_topn(spark, method, salts):
     ad = load(spark, "ad_click")
     s = as_stream(spark, ad, "event_time", chunks=4, sentinel=sentinel_of(ad, "event_time", province="~"))
     counts = stream_window_count(s, "event_time", ["province"], "10 minutes", "1 minute", delay="2 hours")
-    got = run_available(stream_topn(counts, 2, ["province"])).where("province <> '~'")
+    got = run_available(stream_topn(counts, 2, ["province"], method=method, salt_buckets=salts)) \
+        .where("province <> '~'")
     want = window_topn(window_count(ad, "event_time", ["province"], "10 minutes", "1 minute"), 2, ["province"])
     assert rows_of(got) == rows_of(want)
 
