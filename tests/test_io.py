@@ -52,3 +52,14 @@ def test_ship_package_zip(spark):
     path = ship_package(spark)
     assert path.endswith(".zip") and os.path.exists(path)
     assert path.startswith(checkpoint_root(spark).replace("file:", "").rstrip("/"))
+
+
+def test_cli_batch_and_stream(spark):
+    from streamwatch.plans.cli import main
+    out = tempfile.mkdtemp(prefix="sw-cli-")
+    assert main(["login_fail", "--tables", "/root/testdata/sf0.001", "--out", os.path.join(out, "b")]) == 0
+    batch = spark.read.parquet(os.path.join(out, "b"))
+    assert set(batch.columns) == {"user_id", "first_ts", "last_ts"}
+    assert main(["temp_split", "--stream", "--available-now", "--tables", "/root/testdata/sf0.001",
+                 "--out", os.path.join(out, "s"), "--checkpoint", os.path.join(out, "ck")]) == 0
+    assert spark.read.parquet(os.path.join(out, "s")).count() == 1000
