@@ -29,17 +29,124 @@ from ..functions.time import duration_us, interval_literal, to_us
 STREAM_NATIVE_MAX_OVERLAP = 60
 
 
+class SlidingPanesProcessor(StatefulProcessor):
+    """Pane totals of one key -> totals of every ``k``-pane window, emitted once the
+    watermark passes the window's end.
+
+    State: the pane totals that can still reach an unemitted window (at most
+    ``k`` plus those within the watermark delay) and the first window start
+    not yet emitted. One event-time timer sits at the next non-empty window's
+    end. Emission walks the windows covered by the stored panes with two
+    pointers, so each output row costs O(1).
+    """
+
+    def __init__(self, key_names, k: int, slide_us: int):
+        self.key_names, self.k, self.slide = list(key_names), k, slide_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.panes = handle.getMapState("panes", "p long", "n long")
+        self.next_w = handle.getValueState("next_w", "w long")
+
+    def _arm(self, stored, next_w) -> None:
+        if stored:
+            w = max(next_w, min(stored) - self.k + 1)
+            self.handle.registerTimer(((w + self.k) * self.slide) // 1000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = {}
+        for r in rows:
+            new[r["_pane"]] = new.get(r["_pane"], 0) + r["_n"]
+        if not new:
+            return iter(())
+        next_w = self.next_w.get()[0] if self.next_w.exists() else min(new) - self.k + 1
+        for p, n in new.items():
+            if p < next_w:  # every window of this pane is already out: late, dropped
+                continue
+            old = self.panes.getValue((p,))[0] if self.panes.containsKey((p,)) else 0
+            self.panes.updateValue((p,), (old + n,))
+        self.next_w.update((next_w,))
+        self._arm([k[0] for k in self.panes.keys()], next_w)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.next_w.exists():
+            return iter(())
+        wm_us = timerValues.getCurrentWatermarkInMs() * 1000
+        last_w = wm_us // self.slide - self.k  # windows ending at or before the watermark
+        next_w = self.next_w.get()[0]
+        panes = sorted((kk[0], vv[0]) for kk, vv in self.panes.iterator())
+        out, lo, hi, total = [], 0, 0, 0
+        w = next_w
+        while panes and w <= last_w:
+            # next window that holds a pane: the first pane at or after w starts covering at p - k + 1
+            while lo < len(panes) and panes[lo][0] < w:
+                total -= panes[lo][1] if lo < hi else 0
+                lo += 1
+                hi = max(hi, lo)
+            if lo == len(panes):
+                break
+            w = max(w, panes[lo][0] - self.k + 1)
+            if w > last_w:
+                break
+            while hi < len(panes) and panes[hi][0] <= w + self.k - 1:
+                total += panes[hi][1]
+                hi += 1
+            out.append(Row(**dict(zip(self.key_names, key)), _ws=w * self.slide, _n=total))
+            w += 1
+        next_w = max(next_w, last_w + 1)
+        for p, _ in panes:
+            if p < next_w:
+                self.panes.removeKey((p,))
+        self.next_w.update((next_w,))
+        self._arm([p for p, _ in panes if p >= next_w], next_w)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _stream_panes(df, ts, keys, size_us, slide_us, k, delay, out):
+    gkeys = keys or ["_all"]
+    src = df if keys else df.withColumn("_all", F.lit(0))
+    panes = (src.withWatermark(ts, interval_literal(delay))
+                .groupBy(F.window(ts, interval_literal(timedelta(microseconds=slide_us))).alias("_pw"), *gkeys)
+                .agg(F.count(F.lit(1)).alias("_n"))
+                .select(*gkeys, (F.unix_micros(F.col("_pw.start")) / F.lit(slide_us)).cast("long").alias("_pane"),
+                        "_n", F.col("_pw.end").alias("_pane_end")))
+    schema = T.StructType([src.schema[c] for c in gkeys] + [
+        T.StructField("_ws", T.LongType()), T.StructField("_n", T.LongType())])
+    wins = (panes.groupBy(*gkeys)
+            .transformWithState(SlidingPanesProcessor(gkeys, k, slide_us), schema, "Append", "EventTime"))
+    return wins.select(F.timestamp_micros("_ws").alias("window_start"),
+                       F.timestamp_micros(F.col("_ws") + F.lit(size_us)).alias("window_end"),
+                       *keys, F.col("_n").alias(out))
+
+
 def stream_window_count(df: DataFrame, ts: str, keys: list[str], size, slide=None, delay="0 seconds",
-                        out: str = "n") -> DataFrame:
+                        out: str = "n", method: str = "auto") -> DataFrame:
     """Append-mode counts per window and key.
 
-    Columns: ``window`` (the event-time struct, kept so another stateful
-    operator can chain on it), ``window_start``, ``window_end``, keys, ``out``.
+    Columns: ``window_start``, ``window_end``, keys, ``out``; the ``native`` and
+    ``explode`` forms also keep ``window`` (the event-time struct) so another
+    aggregation can chain on it.
+
+    ``method``: ``native`` (``window(ts, size, slide)``), ``explode`` (each
+    event to its window starts, then one aggregation), ``panes`` (Spark counts
+    each event once into its pane; a per-key ``transformWithState`` turns the
+    closed panes into windows, so Python sees pane totals, never events).
+    ``auto`` takes ``native`` up to 60 windows per event and ``panes`` above.
     """
     size_us = duration_us(size)
     slide_us = size_us if slide is None else duration_us(slide)
     k, rem = divmod(size_us, slide_us)
-    if rem or k <= STREAM_NATIVE_MAX_OVERLAP:
+    if method == "auto":
+        method = "native" if (rem or k <= STREAM_NATIVE_MAX_OVERLAP) else "panes"
+    if method == "panes":
+        if rem:
+            raise ValueError("panes need size to be a multiple of slide")
+        return _stream_panes(df, ts, keys, size_us, slide_us, k, delay, out)
+    if method == "native" or rem:
         w = (F.window(ts, interval_literal(size)) if slide is None
              else F.window(ts, interval_literal(size), interval_literal(slide)))
         return (df.withWatermark(ts, interval_literal(delay))

@@ -145,12 +145,15 @@ def test_stream_rising_synthetic(spark):
     assert got_t == [("s1", 1002, 1012), ("s1", 1022, 1032)]
 
 
-@pytest.mark.parametrize("size,slide", [("1 hour", None), ("1 hour", "5 seconds"), ("10 minutes", "1 minute")])
-def test_stream_window_counts(spark, size, slide):
+@pytest.mark.parametrize("size,slide,method", [("1 hour", None, "auto"), ("1 hour", "5 seconds", "auto"),
+                                               ("1 hour", "5 seconds", "explode"),
+                                               ("10 minutes", "1 minute", "auto"),
+                                               ("10 minutes", "1 minute", "panes")])
+def test_stream_window_counts(spark, size, slide, method):
     ad = load(spark, "ad_click")
     s = as_stream(spark, ad, "event_time", chunks=4, sentinel=sentinel_of(ad, "event_time", province="~"))
-    got = run_available(stream_window_count(s, "event_time", ["province"], size, slide, delay="2 hours")) \
-        .drop("window").where("province <> '~'")
+    got = run_available(stream_window_count(s, "event_time", ["province"], size, slide, delay="2 hours",
+                                            method=method)).drop("window").where("province <> '~'")
     want = window_count(ad, "event_time", ["province"], size, slide)
     assert rows_of(got) == rows_of(want)
 
