@@ -41,3 +41,12 @@ def write_kafka(df: DataFrame, servers: str, topic: str, checkpoint: str,
             .option("checkpointLocation", checkpoint)
             .outputMode(output_mode)
             .start())
+
+
+def kafka_pipe(spark: SparkSession, servers: str, in_topic: str, out_topic: str, checkpoint: str,
+               schema: T.StructType | None = None, transform=None, fmt: str = "csv"):
+    """Job 1: Kafka in -> (optional DataFrame transform) -> Kafka out, as JSON values."""
+    df = read_kafka(spark, servers, in_topic, schema, fmt)
+    if transform is not None:
+        df = transform(df)
+    return write_kafka(df, servers, out_topic, checkpoint)

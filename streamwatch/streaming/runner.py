@@ -42,3 +42,13 @@ def run_available(df: DataFrame, name: str | None = None, output_mode: str = "ap
     if q.exception():
         raise q.exception()
     return spark.table(name) if sink == "memory" else spark.read.format(sink).load(path)
+
+
+def late_rows(query) -> int:
+    """Rows a stream dropped as late (behind the watermark), summed over its recent progress.
+
+    The reference states no side output for late rows; this is the count
+    Spark reports per stateful operator (``numRowsDroppedByWatermark``).
+    """
+    return sum(op.get("numRowsDroppedByWatermark", 0)
+               for p in query.recentProgress for op in p.get("stateOperators", []))

@@ -250,3 +250,16 @@ def test_stream_jobs_run_on_events(spark, name):
     ev = events_stream(spark, sf)
     out = run_available(STREAM_JOBS[name](ev, spark, sf, delay="1 hour"))
     assert out.count() >= 0
+
+
+def test_late_rows_are_counted(spark):
+    """Rows behind the watermark are dropped and counted (stateful operators report them)."""
+    from streamwatch.streaming.runner import late_rows
+    login = load(spark, "login")
+    s = as_stream(spark, login, "event_time", chunks=6, late_frac=0.5)
+    out = stream_consecutive(s, "user_id", "event_time", F.col("event_type") == "fail", 2, "2 seconds",
+                             delay="1 second")
+    q = (out.writeStream.format("memory").queryName(f"late_{random.randrange(10**9)}")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="sw-late-")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert late_rows(q) > 0
