@@ -12,9 +12,12 @@ shapes, so each is its own operator:
   ``second`` with no ``first`` of its key at or before it is reported as
   unmatched.
 
-Both only look ``within`` ahead, so the per-key sequence is cut into time
-buckets (functions.buckets): a hot key is spread over many tasks instead of
-being sorted in one, and the result is exact.
+Both only look ``within`` ahead, and only at the next few rows of the key,
+so the per-key sequence is cut into time buckets (``functions.buckets.
+with_next_heads``): each bucket also gets the first rows of the following
+buckets within ``within``. A hot key is spread over many tasks instead of
+being sorted in one, the bucket width is independent of ``within`` (default
+min(8 * within, 1 hour)), and the result is exact.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.buckets import bucket_width_us, with_lookahead_buckets
+from ..functions.buckets import head_bucket_width_us, with_next_heads
 from ..functions.time import duration_us, to_us
 
 
@@ -43,10 +46,11 @@ def consecutive(df: DataFrame, key, ts: str, pred: Column, times: int = 2, withi
         raise ValueError("times must be >= 1")
     keys = _as_list(key)
     within_us = duration_us(within)
-    width = bucket_width_us(within, bucket)
-    b = with_lookahead_buckets(df.withColumn("_hit", F.coalesce(pred, F.lit(False))),
-                               ts, within_us, width)
+    width = head_bucket_width_us(within, bucket)
     order = [F.col(ts)] + ([F.col(tiebreak)] if tiebreak else [])
+    # a match starting at a row needs the key's next `times - 1` rows
+    b = with_next_heads(df.withColumn("_hit", F.coalesce(pred, F.lit(False))), keys, ts, order,
+                        within_us, width, times - 1)
     w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     cond = F.col("_home") & F.col("_hit")
     for j in range(1, times):
@@ -72,14 +76,15 @@ def followed_by_within(df: DataFrame, key, ts: str, is_first: Column, is_second:
     """
     keys = _as_list(key)
     within_us = duration_us(within)
-    width = bucket_width_us(within, bucket)
+    width = head_bucket_width_us(within, bucket)
     ids = [tiebreak] if tiebreak else []
     ev = (df.where(is_first | is_second)
             .select(*keys, ts, *ids, F.when(is_first, F.lit(0)).otherwise(F.lit(1)).alias("_k")))
 
-    # Seconds near a bucket start are copied back, firsts never are. Every
-    # branch below derives from this one shuffle, so the input is read once.
-    b = with_lookahead_buckets(ev, ts, within_us, width, copy_when=F.col("_k") == 1)
+    # A first needs the nearest later second: the first second of each of the
+    # next buckets within `within` is copied back; firsts are never copied.
+    order = [F.col(ts), F.col("_k")] + [F.col(i) for i in ids]
+    b = with_next_heads(ev, keys, ts, order, within_us, width, 1, eligible=F.col("_k") == 1)
     # Nearest later second: scan in descending order with a growing frame (linear time).
     desc = [F.col(ts).desc(), F.col("_k").desc()] + [F.col(i).desc() for i in ids]
     w = (Window.partitionBy(*keys, "_bucket").orderBy(*desc)

@@ -75,7 +75,8 @@ def test_consecutive_bucket_split_is_exact(spark, times, within):
     pred = F.col("kind") == "fail"
     whole = consecutive(ev, "user_id", "ts", pred, times, within, tiebreak="event_id", bucket="3650 days")
     tight = consecutive(ev, "user_id", "ts", pred, times, within, tiebreak="event_id", bucket=within)
-    assert _same(whole, tight)
+    narrow = consecutive(ev, "user_id", "ts", pred, times, within, tiebreak="event_id", bucket="45 seconds")
+    assert _same(whole, tight) and _same(whole, narrow)
     assert whole.count() > 0 or within == "1 second"
 
 
@@ -84,7 +85,8 @@ def test_followed_by_bucket_split_is_exact(spark):
     args = (ev, "user_id", "ts", F.col("kind") == "create", F.col("kind") == "pay", "20 minutes")
     whole = followed_by_within(*args, tiebreak="event_id", bucket="3650 days")
     tight = followed_by_within(*args, tiebreak="event_id", bucket="20 minutes")
-    assert _same(whole, tight)
+    narrow = followed_by_within(*args, tiebreak="event_id", bucket="70 seconds")
+    assert _same(whole, tight) and _same(whole, narrow)
     kinds = {r.kind for r in whole.select("kind").distinct().collect()}
     assert {"matched", "timeout"} <= kinds
 
