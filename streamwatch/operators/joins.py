@@ -17,9 +17,10 @@ ever compared.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from ..functions.buckets import home_bucket, range_buckets
 from ..functions.time import duration_us, to_us
@@ -59,14 +60,16 @@ def reconcile(pays: DataFrame, receipts: DataFrame, key: str, pay_ts: str, recei
     Every column of both inputs is kept (the names must differ apart from
     the key); columns of the absent side are null. ``kind`` says which.
 
-    Plan: one pass, no join. Pays and receipts are unioned and shuffled once
-    by (key, time bucket); rows within ``H = max(|lower|, |upper|)`` of a
-    bucket edge are also copied into the neighbouring bucket. Ordered by event
-    time, each pay collects the receipts of its range frame
-    ``[pay + lower, pay + upper]`` and each receipt counts the pays of
-    ``[receipt - upper, receipt - lower]``; one explode then emits the pairs,
-    the lonely pays and the lonely receipts. Each input is read and shuffled
-    once, and no task holds more than one bucket of one key.
+    Plan. Pairs: the bucketed interval join (only pay x receipt pairs of
+    neighbouring buckets are compared). Lonely rows: one pass over the union
+    of both sides, shuffled by (key, time bucket) with rows near a bucket edge
+    copied into the neighbour, using only *unbounded-preceding* frames, which
+    Spark evaluates incrementally (O(1) per row, however dense the key):
+    a receipt has a pay iff the latest pay at or before ``receipt - lower`` is
+    at or after ``receipt - upper``; a pay has a receipt iff the earliest
+    receipt at or after ``pay + lower`` (a running ``last`` over negated time)
+    is at or before ``pay + upper``. No bounded sliding frame is used: Spark
+    re-aggregates those per row, which is quadratic on a dense key.
     """
     lo, hi = duration_us(lower), duration_us(upper)
     if hi < lo:
@@ -77,37 +80,41 @@ def reconcile(pays: DataFrame, receipts: DataFrame, key: str, pay_ts: str, recei
         raise ValueError("bucket width must be at least max(|lower|, |upper|)")
     pcols = [c for c in pays.columns if c != key]
     rcols = [c for c in receipts.columns if c != key]
+
+    matched = (interval_join(pays, receipts, key, pay_ts, receipt_ts, timedelta(microseconds=lo),
+                             timedelta(microseconds=hi), bucket=bucket)
+               .select(key, F.lit("matched").alias("kind"), *pcols, *rcols))
+
     p = pays.select(F.col(key).alias("_key"), to_us(pay_ts).alias("_us"), F.struct(*pcols).alias("_p"))
     r = receipts.select(F.col(key).alias("_key"), to_us(receipt_ts).alias("_us"),
                         F.struct(*rcols).alias("_r"))
     ptype, rtype = p.schema["_p"].dataType, r.schema["_r"].dataType
     rows = (p.select("_key", "_us", "_p", F.lit(None).cast(rtype).alias("_r"))
              .unionByName(r.select("_key", "_us", F.lit(None).cast(ptype).alias("_p"), "_r")))
-
     home = F.floor(F.col("_us") / F.lit(width)).cast("long")
     off = F.col("_us") - home * F.lit(width)
     buckets = F.array_compact(F.array(
         home, F.when(off < F.lit(horizon), home - 1), F.when(F.lit(width) - off <= F.lit(horizon), home + 1)))
-    rows = (rows.withColumn("_home_b", home).withColumn("_b", F.explode(buckets))
-                .withColumn("_home", F.col("_b") == F.col("_home_b")))
-
-    # A null key never matches: such rows get empty frames, and a hash salt
-    # spreads them instead of gathering every null-key row in one group.
+    # A null key never matches; a hash salt spreads such rows instead of gathering them.
     nokey = F.col("_key").isNull()
-    rows = rows.withColumn("_ns", F.when(nokey, F.xxhash64("_us", "_p", "_r")).otherwise(F.lit(0)))
-    w = Window.partitionBy("_key", "_b", "_ns").orderBy("_us")
-    rows = (rows.withColumn("_rs", F.when(nokey, F.array().cast(ArrayType(rtype)))
-                            .otherwise(F.collect_list("_r").over(w.rangeBetween(lo, hi))))
-                .withColumn("_np", F.when(nokey, F.lit(0))
-                            .otherwise(F.count("_p").over(w.rangeBetween(-hi, -lo)))))
-    null_p, null_r = F.lit(None).cast(ptype), F.lit(None).cast(rtype)
-    out_t = lambda kind, pv, rv: F.struct(F.lit(kind).alias("kind"), pv.alias("p"), rv.alias("r"))
-    outs = (F.when(F.col("_p").isNotNull(),
-                   F.when(F.size("_rs") == 0, F.array(out_t("pay_only", F.col("_p"), null_r)))
-                    .otherwise(F.transform("_rs", lambda x: out_t("matched", F.col("_p"), x))))
-             .otherwise(F.when(F.col("_np") == 0, F.array(out_t("receipt_only", null_p, F.col("_r"))))))
-    res = (rows.where("_home")
-               .select(F.col("_key").alias(key), F.explode(outs).alias("_o"))
-               .select(key, "_o.kind", *[F.col(f"_o.p.{c}").alias(c) for c in pcols],
-                       *[F.col(f"_o.r.{c}").alias(c) for c in rcols]))
-    return res
+    rows = (rows.withColumn("_home_b", home).withColumn("_b", F.explode(buckets))
+                .withColumn("_home", F.col("_b") == F.col("_home_b"))
+                .withColumn("_ns", F.when(nokey, F.xxhash64("_us", "_p", "_r")).otherwise(F.lit(0)))
+                .withColumn("_neg", -F.col("_us")))
+    part = ["_key", "_b", "_ns"]
+    up = Window.partitionBy(*part).orderBy("_us").rangeBetween(Window.unboundedPreceding, -lo)
+    down = Window.partitionBy(*part).orderBy("_neg").rangeBetween(Window.unboundedPreceding, -lo)
+    rows = (rows.withColumn("_last_pay", F.last(F.when(F.col("_p").isNotNull(), F.col("_us")),
+                                                ignorenulls=True).over(up))
+                .withColumn("_next_rec", F.last(F.when(F.col("_r").isNotNull(), F.col("_us")),
+                                                ignorenulls=True).over(down)))
+    has_rec = ~nokey & F.coalesce(F.col("_next_rec") <= F.col("_us") + F.lit(hi), F.lit(False))
+    has_pay = ~nokey & F.coalesce(F.col("_last_pay") >= F.col("_us") - F.lit(hi), F.lit(False))
+    home_rows = rows.where("_home")
+    pay_only = home_rows.where(F.col("_p").isNotNull() & ~has_rec).select(
+        F.col("_key").alias(key), F.lit("pay_only").alias("kind"),
+        *[F.col(f"_p.{c}").alias(c) for c in pcols], *[F.lit(None).cast(rtype[c].dataType).alias(c) for c in rcols])
+    receipt_only = home_rows.where(F.col("_r").isNotNull() & ~has_pay).select(
+        F.col("_key").alias(key), F.lit("receipt_only").alias("kind"),
+        *[F.lit(None).cast(ptype[c].dataType).alias(c) for c in pcols], *[F.col(f"_r.{c}").alias(c) for c in rcols])
+    return matched.unionByName(pay_only).unionByName(receipt_only)
