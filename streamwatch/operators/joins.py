@@ -110,11 +110,10 @@ def reconcile(pays: DataFrame, receipts: DataFrame, key: str, pay_ts: str, recei
                                                 ignorenulls=True).over(down)))
     has_rec = ~nokey & F.coalesce(F.col("_next_rec") <= F.col("_us") + F.lit(hi), F.lit(False))
     has_pay = ~nokey & F.coalesce(F.col("_last_pay") >= F.col("_us") - F.lit(hi), F.lit(False))
-    home_rows = rows.where("_home")
-    pay_only = home_rows.where(F.col("_p").isNotNull() & ~has_rec).select(
-        F.col("_key").alias(key), F.lit("pay_only").alias("kind"),
-        *[F.col(f"_p.{c}").alias(c) for c in pcols], *[F.lit(None).cast(rtype[c].dataType).alias(c) for c in rcols])
-    receipt_only = home_rows.where(F.col("_r").isNotNull() & ~has_pay).select(
-        F.col("_key").alias(key), F.lit("receipt_only").alias("kind"),
-        *[F.lit(None).cast(ptype[c].dataType).alias(c) for c in pcols], *[F.col(f"_r.{c}").alias(c) for c in rcols])
-    return matched.unionByName(pay_only).unionByName(receipt_only)
+    # both kinds of lonely rows from one projection, so both windows run once
+    lonely = rows.where(F.col("_home") & ((F.col("_p").isNotNull() & ~has_rec)
+                                          | (F.col("_r").isNotNull() & ~has_pay))).select(
+        F.col("_key").alias(key),
+        F.when(F.col("_p").isNotNull(), F.lit("pay_only")).otherwise(F.lit("receipt_only")).alias("kind"),
+        *[F.col(f"_p.{c}").alias(c) for c in pcols], *[F.col(f"_r.{c}").alias(c) for c in rcols])
+    return matched.unionByName(lonely)

@@ -21,6 +21,8 @@ matters.
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -385,30 +387,31 @@ class ReconcileProcessor(StatefulProcessor):
                    receipt_us=r[0] if r else None, receipt_id=r[1] if r else None)
 
     def handleInputRows(self, key, rows, timerValues):
-        pays = [list(x) for x in self.pays.get()] if self.pays.exists() else []
-        recs = [list(x) for x in self.recs.get()] if self.recs.exists() else []
+        # both sides kept sorted by time: a new row finds its partners by bisection
+        pays = sorted(list(x) for x in self.pays.get()) if self.pays.exists() else []
+        recs = sorted(list(x) for x in self.recs.get()) if self.recs.exists() else []
         out = []
         nokey = key[0] is None  # a null key never matches
         for r in rows:
             us, rid, side = r["_us"], r["_id"], r["_side"]
-            if nokey:
-                (pays if side == 0 else recs).append([us, rid, False])
-                self.handle.registerTimer(_ceil_ms(us + self.hi) if side == 0 else _ceil_ms(us - self.lo))
-            elif side == 0:
-                me = [us, rid, False]
-                for o in recs:
-                    if self.lo <= o[0] - us <= self.hi:
-                        out.append(self._row(key, "matched", me, o))
-                        me[2] = o[2] = True
-                pays.append(me)
+            me = [us, rid, False]
+            if side == 0:
+                if not nokey:  # receipts in [pay + lower, pay + upper]
+                    i = bisect.bisect_left(recs, [us + self.lo])
+                    while i < len(recs) and recs[i][0] <= us + self.hi:
+                        out.append(self._row(key, "matched", me, recs[i]))
+                        me[2] = recs[i][2] = True
+                        i += 1
+                bisect.insort(pays, me)
                 self.handle.registerTimer(_ceil_ms(us + self.hi))
             else:
-                me = [us, rid, False]
-                for o in pays:
-                    if self.lo <= us - o[0] <= self.hi:
-                        out.append(self._row(key, "matched", o, me))
-                        me[2] = o[2] = True
-                recs.append(me)
+                if not nokey:  # pays in [receipt - upper, receipt - lower]
+                    i = bisect.bisect_left(pays, [us - self.hi])
+                    while i < len(pays) and pays[i][0] <= us - self.lo:
+                        out.append(self._row(key, "matched", pays[i], me))
+                        me[2] = pays[i][2] = True
+                        i += 1
+                bisect.insort(recs, me)
                 self.handle.registerTimer(_ceil_ms(us - self.lo))
         self._store(pays, recs)
         return iter(out)
