@@ -13,11 +13,14 @@ total ``c`` is inside windows ``p - k + 1 .. p``, so it adds ``+c`` at
 position ``p - k + 1`` and ``-c`` at ``p + 1``. A running sum over a key's
 sorted boundary positions is the window total, constant between two
 neighbouring boundaries; each positive segment is exploded straight into its
-output rows. Work is O(panes + output rows), the input is read once, and
-nothing is aggregated after the explode. The running sum is a window
-partitioned by key over *boundary positions*, at most two per pane of the
-key, so its group size is bounded by time span / slide (12.6 M rows for one
-key over a year of 5 s panes) however many events the key has.
+output rows. Work is O(panes + output rows) and nothing is aggregated after
+the explode. By default the running sum is a window per key, whose group is
+at most two boundaries per pane of the key (bounded by time span / slide,
+not by event count). With ``block=B`` it is taken per (key, block of B
+positions) and shifted by a carry, the sum of the key's earlier blocks (a
+window over one summary row per block), so no group exceeds one block: the
+choice for few keys over long spans, where one group per key would limit
+the stage to as many tasks as keys.
 
 ``fanout``. Each pane total is copied to its ``k`` window starts and summed
 by hash aggregation, in two levels ``k = b * m`` for large ``k``:
@@ -40,6 +43,8 @@ from .time import duration_us, to_us
 
 # Above this many panes per window the fan-out uses the two-level form.
 TWO_LEVEL_MIN_PANES = 64
+# Boundary positions per running-sum group of a blocked sweep (65,536 panes: 3.8 days of 5 s panes).
+SWEEP_BLOCK = 1 << 16
 
 
 def pane_index(ts, slide_us: int) -> Column:
@@ -71,16 +76,46 @@ def _fan(df: DataFrame, keys: list[str], pane: str, n: str, width: int, step: in
     return fanned.groupBy(pane, *keys).agg(F.sum(n).alias(n))
 
 
-def sweep(panes: DataFrame, keys: list[str], k: int, pane: str = "pane", n: str = "n") -> DataFrame:
-    """Window totals from pane totals by a boundary sweep (see module doc)."""
+def sweep(panes: DataFrame, keys: list[str], k: int, pane: str = "pane", n: str = "n",
+          block: int | None = None) -> DataFrame:
+    """Window totals from pane totals by a boundary sweep (see module doc).
+
+    ``block=None``: one running sum per key (best when there are many keys).
+    ``block=B``: running sums per (key, B boundary positions) plus a carry,
+    for few keys over long time spans.
+    """
     bounds = F.array(F.struct((F.col(pane) - F.lit(k - 1)).alias("pos"), F.col(n).alias("d")),
                      F.struct((F.col(pane) + F.lit(1)).alias("pos"), (-F.col(n)).alias("d")))
     d = (panes.select(*keys, F.explode(bounds).alias("_e"))
               .select(*keys, "_e.pos", "_e.d")
               .groupBy(*keys, "pos").agg(F.sum("d").alias("d")))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    seg = (d.withColumn(n, F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .withColumn("_end", F.lead("pos").over(w))
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy("pos")
+        seg = (d.withColumn(n, F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+                .withColumn("_end", F.lead("pos").over(w))
+                .where(F.col(n) > 0))
+        return seg.select(*keys, F.explode(F.sequence(F.col("pos"), F.col("_end") - 1)).alias(pane),
+                          F.col(n).cast("long").alias(n))
+    d = d.withColumn("_blk", F.floor(F.col("pos") / F.lit(block)).cast("long"))
+    # running sum and next boundary within (key, block)
+    wb = Window.partitionBy(*keys, "_blk").orderBy("pos")
+    d = (d.withColumn("_run", F.sum("d").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+          .withColumn("_next", F.lead("pos").over(wb)))
+    # per block: its total (the running sum at its last boundary, a window output, so both
+    # branches keep the same window and Spark reuses its shuffle) and its first boundary;
+    # per key over blocks: the carry in from earlier blocks and the next block's first boundary
+    wk = Window.partitionBy(*keys).orderBy("_blk")
+    summ = (d.groupBy(*keys, "_blk").agg(F.max_by("_run", "pos").alias("_tot"), F.min("pos").alias("_first"))
+             .withColumn("_carry", F.coalesce(F.sum("_tot").over(
+                 wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("_next_first", F.lead("_first").over(wk))
+             .select(*[F.col(c).alias(f"_s_{c}") for c in keys], F.col("_blk").alias("_s_blk"),
+                     "_carry", "_next_first"))
+    # null-safe keys: no not-null filter is inferred below the join, so the shuffle is shared
+    cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in keys] + [F.col("_blk").eqNullSafe(F.col("_s_blk"))]
+    seg = (d.join(summ, cond)
+            .select(*keys, "pos", (F.col("_run") + F.col("_carry")).alias(n),
+                    F.coalesce("_next", "_next_first").alias("_end"))
             .where(F.col(n) > 0))
     # a positive running sum always has a later boundary that brings it back to zero
     return seg.select(*keys, F.explode(F.sequence(F.col("pos"), F.col("_end") - 1)).alias(pane),
@@ -88,7 +123,7 @@ def sweep(panes: DataFrame, keys: list[str], k: int, pane: str = "pane", n: str
 
 
 def slide_panes(panes: DataFrame, keys: list[str], k: int, pane: str = "pane",
-                n: str = "n", method: str = "sweep") -> DataFrame:
+                n: str = "n", method: str = "sweep", block: int | None = None) -> DataFrame:
     """Pane totals -> totals of every window of ``k`` panes, keyed by its first pane.
 
     ``panes`` has one row per (pane, keys) with an additive measure ``n``.
@@ -98,7 +133,7 @@ def slide_panes(panes: DataFrame, keys: list[str], k: int, pane: str = "pane",
     if k == 1:
         return panes
     if method == "sweep":
-        return sweep(panes, keys, k, pane, n)
+        return sweep(panes, keys, k, pane, n, block)
     b = split_factor(k)
     if b == 1 or b == k:
         return _fan(panes, keys, pane, n, k, 1)

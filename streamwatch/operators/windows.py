@@ -20,7 +20,7 @@ NATIVE_MAX_OVERLAP = 1
 
 def window_count(df: DataFrame, ts: str, keys: list[str], size, slide=None,
                  weight: str | None = None, out: str = "n", method: str = "auto",
-                 plan: str = "sweep") -> DataFrame:
+                 plan: str = "sweep", block: int | None = None) -> DataFrame:
     """Count events (or sum an additive ``weight``) per window and key.
 
     ``method``: ``native`` uses ``F.window``; ``panes`` counts each event into
@@ -44,7 +44,7 @@ def window_count(df: DataFrame, ts: str, keys: list[str], size, slide=None,
     if rem != 0:
         raise ValueError("pane method needs size to be a multiple of slide")
     panes = pane_counts(df, ts, keys, timedelta(microseconds=slide_us), weight=weight, n=out)
-    wins = slide_panes(panes, keys, k, n=out, method=plan)
+    wins = slide_panes(panes, keys, k, n=out, method=plan, block=block)
     start = F.col("pane") * F.lit(slide_us)
     return wins.select(from_us(start, like).alias("window_start"),
                        from_us(start + F.lit(size_us), like).alias("window_end"),
@@ -52,7 +52,7 @@ def window_count(df: DataFrame, ts: str, keys: list[str], size, slide=None,
 
 
 def windows_from_panes(panes: DataFrame, keys: list[str], size, slide=None, like=None,
-                       out: str = "n", plan: str = "sweep") -> DataFrame:
+                       out: str = "n", plan: str = "sweep", block: int | None = None) -> DataFrame:
     """Pane totals (``pane``, keys, ``out``) -> per-window totals with bounds.
 
     Lets a job pre-aggregate per pane before a join (which shrinks the join
@@ -63,7 +63,7 @@ def windows_from_panes(panes: DataFrame, keys: list[str], size, slide=None, like
     k, rem = divmod(size_us, slide_us)
     if rem:
         raise ValueError("size must be a multiple of slide")
-    wins = slide_panes(panes, keys, k, n=out, method=plan)
+    wins = slide_panes(panes, keys, k, n=out, method=plan, block=block)
     start = F.col("pane") * F.lit(slide_us)
     return wins.select(from_us(start, like).alias("window_start"),
                        from_us(start + F.lit(size_us), like).alias("window_end"),

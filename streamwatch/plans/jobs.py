@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.panes import pane_counts
+from ..functions.panes import SWEEP_BLOCK, pane_counts
 from ..functions.time import ts_type
 from ..operators.blacklist import click_blacklist
 from ..operators.joins import interval_join, reconcile as reconcile_op
@@ -119,10 +119,12 @@ def channel_promo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # 3.5 ad clicks by region ---------------------------------------------------
 def _per_province_windows(spark, sf_dir, ev, size, slide, like):
+    """Provinces are few and the time axis is long, so the sweep runs in blocks
+    (parallel over provinces x blocks instead of provinces)."""
     panes = pane_counts(ev, "ts", ["user_id"], slide)
     by_prov = (panes.join(user_province(spark, sf_dir), "user_id")
                .groupBy("pane", "province").agg(F.sum("n").alias("n")))
-    return windows_from_panes(by_prov, ["province"], size, slide, like)
+    return windows_from_panes(by_prov, ["province"], size, slide, like, block=SWEEP_BLOCK)
 
 
 def ad_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,3 +125,12 @@ def test_rising_bucketed_scan_equals_single_pass(spark, bucket):
     multi = rising_alarm(df, "user_id", "ts", "value", "3 minutes", "event_id", bucket=bucket)
     assert single.count() > 0
     assert _same(single, multi)
+
+
+@pytest.mark.parametrize("block", [None, 3, 50, 1 << 16])
+def test_sweep_blocks_agree(spark, block):
+    from streamwatch.functions.panes import pane_counts, sweep
+    ev = _events(spark, n=500, users=3)
+    panes = pane_counts(ev, "ts", ["user_id"], "1 minute")
+    fan = slide_panes(panes, ["user_id"], 20, method="fanout")
+    assert _same(fan, sweep(panes, ["user_id"], 20, block=block))
