@@ -263,3 +263,32 @@ def test_late_rows_are_counted(spark):
          .option("checkpointLocation", tempfile.mkdtemp(prefix="sw-late-")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert late_rows(q) > 0
+
+
+def test_stream_restarts_from_checkpoint(spark):
+    """Stop after part of the input, restart on the same checkpoint: state and timers carry over."""
+    o = load(spark, "order")
+    rows = o.collect()
+    d = tempfile.mkdtemp(prefix="sw-restart-")
+    src, out, ck = os.path.join(d, "src"), os.path.join(d, "out"), os.path.join(d, "ck")
+    half = len(rows) // 2
+    spark.createDataFrame(rows[:half], o.schema).coalesce(1).write.parquet(os.path.join(src, "a"))
+    first, second = F.col("event_type") == "create", F.col("event_type") == "pay"
+
+    def run():
+        s = stream_parquet(spark, src + "/*", o.schema, max_files_per_trigger=1)
+        q = (stream_followed_by(s, "order_id", "event_time", first, second, "900 seconds", delay="20 minutes")
+             .writeStream.format("parquet").option("checkpointLocation", ck)
+             .trigger(availableNow=True).start(out))
+        q.awaitTermination()
+
+    run()
+    time.sleep(1.1)
+    spark.createDataFrame(rows[half:], o.schema).coalesce(1).write.parquet(os.path.join(src, "b"))
+    time.sleep(1.1)
+    spark.createDataFrame([sentinel_of(o, "event_time", order_id=-1)], o.schema).coalesce(1) \
+        .write.parquet(os.path.join(src, "c"))
+    run()  # a new query object on the same checkpoint
+    got = spark.read.parquet(out).where("order_id <> -1")
+    want = followed_by_within(o, "order_id", "event_time", first, second, "900 seconds")
+    assert rows_of(got) == rows_of(want.select(*got.columns))
