@@ -78,6 +78,14 @@ def ad_blacklist(ev, spark, sf_dir, delay=DEFAULT_DELAY):
                             "ts", P["ad_blacklist"]["limit"], tiebreak="event_id", delay=delay)
 
 
+def ad_blacklist_counts(ev, spark, sf_dir, delay=DEFAULT_DELAY):
+    """Kept rows of the blacklist, counted per province and window (chained on its event time)."""
+    p = P["ad_blacklist"]
+    kept = ad_blacklist(ev, spark, sf_dir, delay).where(F.col("kind") == "kept")
+    rows = kept.select("ts", "user_id").join(user_province(spark, sf_dir), "user_id")
+    return stream_window_count(rows, "ts", ["province"], p["size"], p["slide"], delay=None).drop("window")
+
+
 def login_fail(ev, spark, sf_dir, delay=DEFAULT_DELAY):
     p = P["login_fail"]
     return stream_consecutive(ev, "user_id", "ts", F.col("event_type") == "error", p["times"], p["within"],
@@ -129,6 +137,7 @@ def temp_split(ev, spark, sf_dir, delay=DEFAULT_DELAY):
 STREAM_JOBS = {
     "hot_items": hot_items, "hot_pages": hot_pages, "uv": uv, "pv_uv_approx": pv_uv_approx,
     "channel_promo": channel_promo, "ad_by_region": ad_by_region, "ad_blacklist": ad_blacklist,
+    "ad_blacklist_counts": ad_blacklist_counts,
     "login_fail": login_fail, "order_timeout": order_timeout, "reconcile": reconcile,
     "reconcile_ok": reconcile_ok, "temp_rising": temp_rising, "temp_split": temp_split,
 }

@@ -22,6 +22,7 @@ matters.
 from __future__ import annotations
 
 import bisect
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -339,7 +340,9 @@ class BlacklistProcessor(_Buffered):
         kind = "kept" if n <= self.limit else ("alert" if n == self.limit + 1 else None)
         if kind is None:
             return []
-        return [Row(**_key_fields(key, self.key_names), day=day, us=us, tb=tb, kind=kind)]
+        # a zone-aware time, so the output event-time column does not depend on the worker's zone
+        t = datetime.fromtimestamp(us // 1_000_000, tz=timezone.utc).replace(microsecond=us % 1_000_000)
+        return [Row(**_key_fields(key, self.key_names), day=day, us=us, tb=tb, kind=kind, _t=t)]
 
     def on_watermark(self, key, wm_us):
         if self.count.exists() and (self.count.get()[0] + 1) * DAY_US <= wm_us:
@@ -349,16 +352,22 @@ class BlacklistProcessor(_Buffered):
 
 def stream_blacklist(df: DataFrame, keys: list[str], ts: str, limit: int = 100,
                      tiebreak: str | None = None, delay="0 seconds") -> DataFrame:
-    """Rows tagged ``kind`` = 'kept' (the first ``limit`` per key and day) or 'alert'."""
+    """Rows tagged ``kind`` = 'kept' (the first ``limit`` per key and day) or 'alert'.
+
+    ``ts`` of the output is its event-time column (watermarked), so a windowed
+    aggregation can follow directly (``stream_window_count(..., delay=None)``).
+    """
     keys = list(keys)
     src = df.select(*keys, F.col(ts).cast("timestamp").alias("_t"), to_us(ts).alias("_us"),
                     (F.col(tiebreak).cast("long") if tiebreak else F.lit(0).cast("long")).alias("_tb"))
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("day", T.LongType()), T.StructField("us", T.LongType()),
-        T.StructField("tb", T.LongType()), T.StructField("kind", T.StringType())])
+        T.StructField("tb", T.LongType()), T.StructField("kind", T.StringType()),
+        T.StructField("_t", T.TimestampType())])
     out = (src.withWatermark("_t", interval_literal(delay)).groupBy(*keys)
-           .transformWithState(BlacklistProcessor(keys, limit), schema, "Append", "EventTime"))
-    return out.select(*keys, F.date_from_unix_date("day").alias("day"), from_us("us").alias(ts),
+           .transformWithState(BlacklistProcessor(keys, limit), schema, "Append", "EventTime",
+                               eventTimeColumnName="_t"))
+    return out.select(*keys, F.date_from_unix_date("day").alias("day"), F.col("_t").alias(ts),
                       *([F.col("tb").alias(tiebreak)] if tiebreak else []), "kind")
 
 

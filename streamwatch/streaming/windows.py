@@ -149,7 +149,9 @@ def stream_window_count(df: DataFrame, ts: str, keys: list[str], size, slide=Non
     if method == "native" or rem:
         w = (F.window(ts, interval_literal(size)) if slide is None
              else F.window(ts, interval_literal(size), interval_literal(slide)))
-        return (df.withWatermark(ts, interval_literal(delay))
+        # delay=None: the input already carries a watermark (e.g. a stateful operator's output)
+        src = df if delay is None else df.withWatermark(ts, interval_literal(delay))
+        return (src
                   .groupBy(w.alias("window"), *keys).agg(F.count(F.lit(1)).alias(out))
                   .select("window", F.col("window.start").alias("window_start"),
                           F.col("window.end").alias("window_end"), *keys, out))

@@ -241,7 +241,8 @@ def test_sql_over_streaming_view(spark):
 
 
 @pytest.mark.parametrize("name", ["hot_items", "hot_pages", "uv", "pv_uv_approx", "channel_promo",
-                                  "ad_by_region", "ad_blacklist", "login_fail", "order_timeout",
+                                  "ad_by_region", "ad_blacklist", "ad_blacklist_counts", "login_fail",
+                                  "order_timeout",
                                   "reconcile", "reconcile_ok", "temp_rising", "temp_split"])
 def test_stream_jobs_run_on_events(spark, name):
     """Every job's stream form runs over the sf0.001 events table as a file stream."""
@@ -292,3 +293,15 @@ def test_stream_restarts_from_checkpoint(spark):
     got = spark.read.parquet(out).where("order_id <> -1")
     want = followed_by_within(o, "order_id", "event_time", first, second, "900 seconds")
     assert rows_of(got) == rows_of(want.select(*got.columns))
+
+
+def test_stream_blacklist_then_window_counts(spark):
+    """Kept rows of the stream blacklist feed a windowed count on the processor's event time."""
+    ad = load(spark, "ad_click")
+    s = as_stream(spark, ad, "event_time", chunks=5, sentinel=sentinel_of(ad, "event_time", user_id=-1))
+    kept = stream_blacklist(s, ["user_id", "ad_id"], "event_time", 100, delay="2 hours").where("kind = 'kept'")
+    got = run_available(stream_window_count(kept, "event_time", ["ad_id"], "1 hour", delay=None)
+                        .drop("window")).where("ad_id IS NOT NULL")
+    batch_kept = click_blacklist(ad, ["user_id", "ad_id"], "event_time", 100)[0]
+    want = window_count(batch_kept, "event_time", ["ad_id"], "1 hour")
+    assert rows_of(got) == rows_of(want)
