@@ -10,7 +10,6 @@ setting is unset, which happens in tests.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -71,13 +70,13 @@ def get_session(master: str | None = None, app: str = "streamwatch",
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints: ``spark.checkpoint.dir`` from the session.
 
-    When the setting is absent (a test session) a fresh local folder is
-    created and recorded in the session, so later calls agree.
+    The cluster names it; library code never invents a machine-local folder.
+    Tests set their own only when the session has none (``tests/conftest.py``).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="streamwatch-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared, durable folder "
+                           "(stream checkpoints and lineage cuts are written there)")
     spark.sparkContext.setCheckpointDir(d)
     return d
 
