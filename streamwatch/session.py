@@ -3,8 +3,8 @@
 Every job in this package is a plain DataFrame function; this module only
 holds the session defaults they rely on (UTC session time, AQE) and the rule
 for where streaming checkpoints and lineage cuts go: the shared folder named
-by ``spark.checkpoint.dir``. A local temporary folder is used only when that
-setting is unset, which happens in tests.
+by ``spark.checkpoint.dir``, read from the session. Library code never creates
+a folder of its own; only tests set one, and only when the session has none.
 """
 
 from __future__ import annotations
