@@ -1,0 +1,167 @@
+"""Secret scan (native): base patterns, plus random-looking tokens by character Markov models.
+
+Two first-order models over characters, one of random strings and one of
+ordinary identifiers, are trained from labelled samples. A token is a secret if
+the log-likelihood ratio of the two models over its transitions exceeds
+``MIN_LLR``. Offsets count code points; ends are exclusive.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from streamwatch.llm.common import fresh, literal_array
+
+# Base patterns, in the order in which kinds are listed, with (checked group, least length).
+ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))
+KINDS = tuple(k for k, *_ in BASE) + ("markov",)
+TOKEN = r"[A-Za-z0-9+/_=.-]{20,}"
+#: Random strings in the default labelled samples, for each of their shapes.
+RANDOM_SAMPLES = 2000
+SMOOTH = 0.5
+ALPHABET = 67
+MIN_LLR = 12.0
+SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+
+
+def _matches(text: Column, regex: str, kind: int, group: int, least: int) -> Column:
+    """Spans of all leftmost non-overlapping matches whose ``group`` has ``least`` characters or more.
+
+    Positions follow from the lengths of the matches and of the pieces between them.
+    """
+    whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    checked = whole if group == 0 else F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+    pieces = F.split(text, regex, -1)
+    rows = F.transform(F.arrays_zip(whole.alias("m"), checked.alias("g"), F.slice(pieces, 1, F.size(whole)).alias("p")),
+                       lambda x: F.struct(F.length(x["p"]).cast("bigint").alias("gap"), F.length(x["m"]).cast("bigint").alias("len"),
+                                          F.length(x["g"]).alias("g")))
+    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["pos"] + x["gap"]
+        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["len"]).alias("end")))
+        return F.struct((start + x["len"]).alias("pos"),
+                        F.when(x["g"] >= least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(rows, zero, step, lambda acc: acc["out"])
+
+
+def _base(text: Column, spec: tuple[str, str, int, int]) -> Column:
+    name, regex, group, least = spec
+    # A run of hex digits shorter than `least` cannot pass: require the length before the costly steps.
+    probe = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}[name]
+    return F.when(text.rlike(probe), _matches(text, regex if name != "hex" else r"[0-9a-f]{24,}",
+                                              KINDS.index(name), group, least)).otherwise(F.array().cast(SPAN))
+
+
+def _overlaps(spans: Column, s: Column) -> Column:
+    return F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+
+def _base_spans(docs: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    names = fresh(docs, *(f"spans_{k}" for k, *_ in BASE))
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select("*", *[_base(t, spec).alias(n) for n, spec in zip(names, BASE)]), names
+
+
+def random_strings(spark: SparkSession, n: int = RANDOM_SAMPLES) -> DataFrame:
+    """(token): ``n`` random-looking strings of each shape (hex in both cases, base64, its URL form, capitals)."""
+    h = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
+    b64 = lambda salt: F.regexp_replace(F.base64(F.unhex(h(salt))), "[\\r\\n=]", "")
+    shapes = [F.substring(h("a"), 1, 40), F.upper(F.substring(h("b"), 1, 40)), b64("c"),
+              F.translate(b64("d"), "+/", "-_"), F.upper(F.regexp_replace(b64("e"), "[+/]", ""))]
+    return spark.range(n).select(F.explode(F.array(*shapes)).alias("token"))
+
+
+def labelled_samples(docs: DataFrame, text: str = "text", n_random: int = RANDOM_SAMPLES) -> DataFrame:
+    """(token, is_secret): random strings, and every token-sized string of ``docs`` outside base spans.
+
+    The random strings are bounded by ``n_random``; the ordinary ones cover all documents.
+    """
+    spans, names = _base_spans(docs.select(F.col(text)).where(F.col(text).rlike(TOKEN)), text)
+    found = spans.select(F.col(text), F.concat(*names).alias("base"), _matches(F.col(text), TOKEN, 3, 0, 0).alias("found"))
+    plain = F.filter("found", lambda s: ~_overlaps(F.col("base"), s))
+    tokens = F.transform(plain, lambda s: F.substring(F.col(text), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")))
+    ordinary = found.select(F.explode(tokens).alias("token"), F.lit(False).alias("is_secret"))
+    return ordinary.unionByName(random_strings(docs.sparkSession, n_random).withColumn("is_secret", F.lit(True)))
+
+
+def _code(token: Column, i: Column) -> Column:
+    return F.ascii(F.substring(token, i, 1))
+
+
+def train(samples: DataFrame) -> list[float]:
+    """Log-likelihood ratio of each transition: entry 128 * from + to, of 16,384.
+
+    Only transition counts (at most 2 x 128 x 128 numbers) come to the driver.
+    """
+    counts = (samples.where(F.length("token") > 1)
+              .select("is_secret", "token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"))
+              .select("is_secret", (_code(F.col("token"), F.col("i")) % 128 * 128 + _code(F.col("token"), F.col("i") + 1) % 128).alias("t"))
+              .groupBy("is_secret", "t").count().collect())
+    pair = {True: [0] * 16384, False: [0] * 16384}
+    first = {True: [0] * 128, False: [0] * 128}
+    for r in counts:
+        pair[r["is_secret"]][r["t"]] += r["count"]
+        first[r["is_secret"]][r["t"] // 128] += r["count"]
+    log_p = lambda s, t: math.log((pair[s][t] + SMOOTH) / (first[s][t // 128] + SMOOTH * ALPHABET))
+    return [log_p(True, t) - log_p(False, t) for t in range(16384)]
+
+
+def _llr(token: Column, model: Column) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
+                       lambda acc, i: acc + F.get(model, _code(token, i) % 128 * 128 + _code(token, i + 1) % 128))
+
+
+def find_secrets(docs: DataFrame, text: str = "text", samples: DataFrame | None = None,
+                 min_llr: float = MIN_LLR) -> DataFrame:
+    """``docs`` plus ``spans``: array of (start, kind, end) by start, kind, end; kind indexes ``KINDS``.
+
+    Base spans are all kept, overlapping ones of different kinds included; a
+    markov span is added where no base span overlaps the token. Null and empty
+    texts have no spans. An input column called spans is replaced.
+    """
+    docs = docs.drop("spans")
+    llr = literal_array(train(labelled_samples(docs, text) if samples is None else samples), "double")
+    out, names = _base_spans(docs, text)
+    base, markov = fresh(out, "base", "markov")
+    t = F.coalesce(F.col(text), F.lit(""))
+    scored = F.filter(_matches(t, TOKEN, 3, 0, 0), lambda s: _llr(
+        F.substring(t, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")), llr) > F.lit(float(min_llr)))
+    out = out.withColumn(markov, F.when(t.rlike(TOKEN), scored).otherwise(F.array().cast(SPAN)))
+    out = out.withColumn(base, F.concat(*names))
+    added = F.filter(markov, lambda s: ~_overlaps(F.col(base), s))
+    return out.select(*docs.columns, F.array_sort(F.concat(F.col(base), added)).alias("spans"))
+
+
+def span_string(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """``text`` with each span replaced by ``mark``; overlapping spans are replaced together."""
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+
+    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, lambda acc: F.concat(
+        acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))).otherwise(text)
+
+
+def secrets_report(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, counts by kind, digest of the base spans, all spans."""
+    found = find_secrets(docs.select("doc_id", "text"))
+    count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE))
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+                        F.sha2(span_string(base), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"))
