@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamwatch.llm import langid, line_dedup, packing, secrets, simhash_dedup
+from streamwatch.llm import langid, line_dedup, packing, secret_scan, simhash_dedup
 from streamwatch.llm.common import ensure_checkpoint_dir, read
 from streamwatch.llm.queries import tokenizer_json
 
@@ -48,9 +48,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced by a mark; n_chars follows."""
-    found = secrets.find_secrets(docs.select(COLUMNS))
+    found = secret_scan.find_secrets(docs.select(COLUMNS))
     some = F.size("spans") > 0
-    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
+    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans")))
     return _documents(clean.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamwatch.llm import ann, bpe, fingerprints, html_extract, langid, line_dedup, packing, secrets, simhash_dedup, substrings
+from streamwatch.llm import ann, bpe, fingerprints, html_extract, langid, line_dedup, packing, secret_scan, simhash_dedup, substrings
 from streamwatch.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,7 +40,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents."""
-    return secrets.secrets_report(read(spark, sf_dir, "documents"))
+    return secret_scan.secrets_report(read(spark, sf_dir, "documents"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
