@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_KNOWN = 400_000
+MOST_KNOWN = 800_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -173,8 +173,8 @@ class Codec:
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.symbols = byte_symbols()
         self.automaton = Automaton(model["vocab"], merges, self.suffix)
-        self.known: dict[str, list[int]] = {}
-        self.chunks: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
 
     def normalize(self, text: str) -> str:
         for step in self.steps:
@@ -189,7 +189,7 @@ class Codec:
                 raise ValueError(f"normalizer {step['type']} is not read")
         return text
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         ids = self.known.get(word)
         if ids is None:
             if len(self.known) > MOST_KNOWN:
@@ -197,7 +197,7 @@ class Codec:
             symbols = "".join([self.symbols[b] for b in word.encode()])
             if self.suffix:
                 symbols = symbols[:-1] + chr(ord(symbols[-1]) + Automaton.END)
-            ids = self.automaton.encode(symbols)
+            ids = tuple(self.automaton.encode(symbols))
             if len(word) < 64:
                 self.known[word] = ids
         return ids
@@ -223,7 +223,7 @@ class Codec:
                 if len(chunks) > MOST_KNOWN:
                     chunks.clear()
                 if len(c) < 64:
-                    chunks[c] = ids
+                    chunks[c] = tuple(ids)
             out += ids
         return out
 
