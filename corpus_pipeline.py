@@ -46,7 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(simhash_dedup.drop_near_duplicates(docs.select(COLUMNS)))
 
 
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with every secret replaced by a mark; n_chars follows."""
     found = secret_scan.find_secrets(docs.select(COLUMNS))
     some = F.size("spans") > 0
@@ -60,7 +60,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [("language_id", language_id), ("line_dedup", site_line_dedup), ("simhash_dedup", near_dedup),
-          ("secret_scan", secret_scan), ("packing", best_fit_packing)]
+          ("secret_scan", redact_secrets), ("packing", best_fit_packing)]
 
 #: The stages use models, fingerprints and a tokenizer, which SQL cannot express; tests use brute force.
 ORACLE_SQL = None
