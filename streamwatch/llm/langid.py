@@ -24,7 +24,7 @@ SAMPLE_PER_LANG = 1000
 SWITCH = 6.0
 SMOOTH = 0.5
 SCRIPT_SHARE = 0.02
-MOST_KNOWN = 300_000
+MOST_KNOWN = 600_000
 MOST_CELLS = 24_000_000
 UNKNOWN = "und"
 FOLDS = 5
@@ -50,8 +50,9 @@ def words_of(text: str) -> list[str]:
 
 
 def trigrams(word: str) -> list[str]:
+    """One for each character of the word."""
     w = f"^{word}$"
-    return [w[i:i + 3] for i in range(len(w) - 2)]
+    return [w[i:i + 3] for i in range(len(word))]
 
 
 def has_letter(word: str) -> bool:
@@ -59,7 +60,7 @@ def has_letter(word: str) -> bool:
 
 
 def main_script(word: str) -> str:
-    return script(next(c for c in word if c.isalpha()))
+    return "latin" if word.isascii() else script(next(c for c in word if c.isalpha()))
 
 
 class Model:
@@ -72,20 +73,25 @@ class Model:
         totals = np.array([sum(counts[x].values()) + SMOOTH * (len(grams) + 1) for x in self.langs])
         table = np.array([[counts[x].get(g, 0) for x in self.langs] for g in grams] or np.empty((0, len(self.langs))), dtype=np.float64)
         self.rows = {g: i for i, g in enumerate(grams)}
+        self.no_script = np.zeros(len(self.langs), dtype=bool)
         self.table = np.log((np.vstack([table, np.zeros(len(self.langs))]) + SMOOTH) / totals)
 
-    def score(self, word: str) -> np.ndarray:
-        """Log-likelihoods of the word against its best language; languages of other scripts are far behind.
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log-likelihoods of each word against its best language; languages of other scripts are far behind.
 
         A word of a script that no language is known in says nothing.
         """
-        may = self.scripts.get(main_script(word))
-        if may is None:
-            return np.zeros(len(self.langs))
-        miss = len(self.rows)
-        s = self.table[[self.rows.get(g, miss) for g in trigrams(word)]].sum(axis=0)
-        s = np.where(may, s, -np.inf)
-        return np.maximum(s - s.max(), -12.0)
+        rows, miss = self.rows, len(self.rows)
+        out = []
+        for at in range(0, len(words), 20_000):
+            some = words[at:at + 20_000]
+            grams = [rows.get(g, miss) for w in some for g in trigrams(w)]
+            s = np.add.reduceat(self.table[grams], np.cumsum([0] + [len(w) for w in some[:-1]]), axis=0)
+            may = np.array([self.scripts.get(main_script(w), self.no_script) for w in some])
+            s = np.where(may, s, -np.inf)
+            top = s.max(axis=1, keepdims=True)
+            out.append(np.where(np.isfinite(top), np.maximum(s - np.where(np.isfinite(top), top, 0), -12.0), 0.0))
+        return np.concatenate(out)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
@@ -130,15 +136,17 @@ class Labeller:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores: list[np.ndarray] = []
+        self.scores = np.zeros((0, len(self.model.langs)))
         self.weights: list[int] = []
+        self.new: list[str] = []
 
     def _row(self, word: str) -> int:
+        """Row of a new word, to be scored with the others that are new."""
         if not has_letter(word):
             return -1
-        self.scores.append(self.model.score(word))
+        self.new.append(word)
         self.weights.append(len(word))
-        return len(self.scores) - 1
+        return len(self.weights) - 1
 
     def _ids(self, words: list[str]) -> np.ndarray:
         known, out = self.known, []
@@ -162,6 +170,9 @@ class Labeller:
                 ids.append(self._ids(words_of(texts[at] or "")))
                 cells += len(ids[-1]) * max(1, n_langs)
                 at += 1
+            if self.new and n_langs:
+                self.scores = np.concatenate([self.scores, self.model.score(self.new)])
+            self.new = []
             yield from self._viterbi(ids)
 
     def _viterbi(self, ids: list[np.ndarray]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
@@ -176,7 +187,7 @@ class Labeller:
         labels = np.empty(len(flat), dtype=np.int16)
         steps = int(sizes[0]) if len(sizes) else 0
         active = [int(x) for x in np.searchsorted(-sizes, -np.arange(steps), side="left")]  # texts longer than t
-        table = np.array(self.scores) if self.scores else np.zeros((0, len(langs)))
+        table = self.scores
         best = np.empty(len(flat), dtype=np.int16)  # best language before each word
         switched = np.zeros((len(flat), len(langs)), dtype=bool)
         total = np.zeros((len(ids), len(langs)))
