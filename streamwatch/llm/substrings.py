@@ -3,10 +3,16 @@
 Seeds: every window of ``WINDOW`` words has one anchor, the least hash among its
 ``SEED``-word runs (winnowing), so equal windows have equal anchors. Anchors are
 counted over all documents; one that occurs once cannot lie in a repeat.
-Extension: around each repeated anchor, all windows that it anchors, reaching
-left and right, are compared as a whole by a 128-bit hash, so an anchor that is
-in a third of all documents costs its own windows and no pairs. Adjoining
-repeated windows merge into maximal repeats when words are removed.
+
+Extension, both ways: an anchor is extended to the stretch of all windows that it
+anchors. Occurrences with equal stretches repeat as a whole: the first stays, in
+the others all windows are repeats. Only where occurrences of an anchor differ
+somewhere are the windows of the distinct stretches compared one by one.
+Adjoining repeated windows merge into maximal repeats when words are removed.
+
+Comparisons are by 96-bit hash and need no pairs. An anchor with many
+occurrences is dealt into slices by document: first within a slice, then over
+the slices.
 """
 
 from __future__ import annotations
@@ -22,8 +28,9 @@ from pyspark.sql import functions as F
 from streamwatch.llm.common import one_row_per_key, saved
 
 WINDOW = 20
-SEED = 10
-SALTS = 64
+SEED = 6
+#: Occurrences of an anchor that one slice holds.
+SLICE = 4096
 MOST_WORDS_KNOWN = 400_000
 
 
@@ -52,18 +59,27 @@ class WordHashes:
         return np.array(out, dtype=np.uint64)
 
 
-def _runs(values: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Hash of each run of ``n`` values."""
-    b = np.uint64(base)
-    out = np.zeros(len(values) - n + 1, dtype=np.uint64)
-    for i in range(n):
-        out = out * b + values[i:len(values) - n + 1 + i]
-    return _mix(out)
+class Spans:
+    """Hashes of any spans of a sequence of values, equal for equal spans wherever they start."""
+
+    def __init__(self, values: np.ndarray, base: int) -> None:
+        powers = np.full(len(values) + 1, base, dtype=np.uint64)
+        powers[0] = 1
+        inverse = np.full(len(values) + 1, pow(base, -1, 1 << 64), dtype=np.uint64)
+        inverse[0] = 1
+        self.back = np.cumprod(inverse, dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(powers, dtype=np.uint64)[:-1], dtype=np.uint64)])
+
+    def __call__(self, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        return _mix((self.sums[starts + sizes] - self.sums[starts]) * self.back[starts] + np.asarray(sizes).astype(np.uint64))
+
+
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
 def anchors(values: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the seeds, and for each window the position of its anchor (the leftmost least seed)."""
-    seeds = _runs(values, seed, 0x9E3779B97F4A7C15)
+    seeds = Spans(values, BASES[0])(np.arange(len(values) - seed + 1), seed)
     view = np.lib.stride_tricks.sliding_window_view(seeds, window - seed + 1)
     return seeds, view.argmin(axis=1) + np.arange(len(view))
 
@@ -76,59 +92,122 @@ def _texts(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, starts): sorted starts of the windows whose words also start earlier.
+def _lists(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets and flat fields of a column of arrays of structs."""
+    col = batch.column(i)
+    return col.offsets.to_numpy(), [f.to_numpy(zero_copy_only=False) for f in col.values.flatten()]
+
+
+def _rows(batch: pa.RecordBatch, at: list[int], parts: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """One record batch from per-document arrays; the first column repeats the document's id."""
+    if at:
+        ids = np.repeat(at, [len(p[0]) for p in parts])
+        cols = [np.concatenate(c) for c in zip(*parts)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), *map(pa.array, cols)], names=names)
+
+
+def _two_hashes(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    a = Spans(values, BASES[0])(starts, sizes).view(np.int64)
+    b = Spans(_mix(values), BASES[1])(starts, sizes) >> np.uint64(32)
+    return a, b.astype(np.uint32).view(np.int32)
+
+
+def _seeds(batches: Iterator[pa.RecordBatch], window: int, seed: int) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for b in batches:
+        ids, found = [], []
+        for i, t in enumerate(_texts(b, 1)):
+            words = words_of(t)
+            if len(words) >= window:
+                s, at = anchors(hashes(words), window, seed)
+                ids.append(i)
+                found.append(s[np.unique(at)].view(np.int64))
+        if ids:
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), lists], names=["doc_id", "seeds"])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], window: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, n, times, h1, h2): the stretch of n windows of each repeated anchor."""
+    hashes = WordHashes()
+    for b in batches:
+        ends, (known, times) = _lists(b, 2)
+        ids, parts = [], []
+        for i, t in enumerate(_texts(b, 1)):
+            mine, n_times = known[ends[i]:ends[i + 1]], times[ends[i]:ends[i + 1]]
+            order = np.argsort(mine)
+            mine, n_times = mine[order], n_times[order]
+            values = hashes(words_of(t))
+            s, at = anchors(values, window, seed)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            sizes = np.diff(np.r_[first, len(at)])
+            own = s[at[first]].view(np.int64)
+            place = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
+            ok = mine[place] == own
+            first, sizes = first[ok], sizes[ok]
+            ids.append(i)
+            parts.append((first.astype(np.int32), sizes.astype(np.int32), n_times[place[ok]], *_two_hashes(values, first, sizes + window - 1)))
+        yield from _rows(b, ids, parts, ["doc_id", "start", "n", "times", "h1", "h2"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, n = 1, times, h1, h2): the windows of the listed stretches."""
+    hashes = WordHashes()
+    for b in batches:
+        ends, (starts, sizes, times) = _lists(b, 2)
+        ids, parts = [], []
+        for i, t in enumerate(_texts(b, 1)):
+            s, n, k = (x[ends[i]:ends[i + 1]] for x in (starts, sizes, times))
+            each = np.repeat(s - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            ids.append(i)
+            parts.append((each.astype(np.int32), np.ones(len(each), np.int32), np.repeat(k, n), *_two_hashes(hashes(words_of(t)), each, window)))
+        yield from _rows(b, ids, parts, ["doc_id", "start", "n", "times", "h1", "h2"])
+
+
+def _split_first(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(later, first) rows of each (h1, h2) by doc_id and start; ``first`` has ``same``, the rows with its hash.
+
+    Rows whose anchor occurs more than ``SLICE`` times are ordered within slices
+    of their documents before the slices' first rows meet; ``same`` is 0 there.
+    """
+    order = [F.asc_nulls_first("doc_id"), F.asc("start")]
+    slices = F.ceil(F.col("times") / SLICE).cast("int")
+    rows = rows.withColumn("slice", F.when(slices > 1, F.pmod(F.xxhash64("doc_id"), slices)).otherwise(0).cast("int"))
+    w = Window.partitionBy("h1", "h2", "slice")
+    rows = rows.select("*", F.lag("start").over(w.orderBy(*order)).alias("before"),
+                       F.when(slices == 1, F.count("*").over(w)).otherwise(0).cast("long").alias("same"))
+    cols = ["doc_id", "start", "n", "times", "same"]
+    hot = rows.where((F.col("before").isNull()) & (slices > 1)).drop("before")
+    hot = hot.withColumn("before", F.lag("start").over(Window.partitionBy("h1", "h2").orderBy(*order)))
+    later = rows.where("before is not null").select(cols).unionByName(hot.where("before is not null").select(cols))
+    first = rows.where(F.col("before").isNull() & (slices == 1)).select(cols).unionByName(hot.where("before is null").select(cols))
+    return later, first
+
+
+def repeated_stretches(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, start, n): runs of n windows whose words all also start earlier.
 
     ``docs`` has one row for each doc_id, null being the smallest id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    columns = f"doc_id {kind}, start int, n int, times bigint, h1 bigint, h2 int"
+    docs = docs.select("doc_id", "text")
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            ids, found = [], []
-            for i, t in enumerate(_texts(b, 1)):
-                words = words_of(t)
-                if len(words) >= window:
-                    s, at = anchors(hashes(words), window, seed)
-                    ids.append(i)
-                    found.append(s[np.unique(at)].view(np.int64))
-            if ids:
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), lists], names=["doc_id", "seeds"])
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            known = b.column(2)
-            for i, t in enumerate(_texts(b, 1)):
-                values = hashes(words_of(t))
-                s, at = anchors(values, window, seed)
-                ok = np.isin(s, np.asarray(known[i].values.to_numpy(zero_copy_only=False)).view(np.uint64))
-                starts = np.flatnonzero(ok[at])
-                if len(starts):
-                    h = [_runs(v, window, base)[starts].view(np.int64) for v, base in (
-                        (values, 0xD1342543DE82EF95), (_mix(values), 0xAF251AF3B0F025B5))]
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(np.full(len(starts), i))), pa.array(starts.astype(np.int32)), *map(pa.array, h)],
-                        names=["doc_id", "start", "h1", "h2"])
-
-    found = saved(docs.select("doc_id", "text").mapInArrow(seeds, f"doc_id {kind}, seeds array<bigint>"))
+    def with_lists(rows: DataFrame, *fields: str) -> DataFrame:
+        lists = rows.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct(*fields)).alias("list"))
+        return docs.join(lists, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "list")
+
+    found = saved(docs.mapInArrow(lambda b: _seeds(b, window, seed), f"doc_id {kind}, seeds array<bigint>"))
     found = found.select("doc_id", F.explode("seeds").alias("seed"))
-    repeated = found.groupBy(F.col("seed").alias("again")).agg(F.count("*").alias("n")).where("n > 1").select("again")
-    mine = (found.join(repeated, F.col("seed") == F.col("again")).groupBy(F.col("doc_id").alias("of"))
-            .agg(F.collect_set("seed").alias("seeds")))
-    rows = (docs.join(mine, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "seeds")
-            .mapInArrow(extend, f"doc_id {kind}, start int, h1 bigint, h2 bigint"))
-    # First within a slice of the documents, then first over all slices: a passage of any number of copies is spread.
-    order = [F.asc_nulls_first("doc_id"), F.asc("start")]
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    by_salt, by_all = (Window.partitionBy(*k).orderBy(*order) for k in (["h1", "h2", "salt"], ["h1", "h2"]))
-    rows = rows.withColumn("before", F.lag("start").over(by_salt))
-    heads = rows.where("before is null").drop("before").withColumn("before", F.lag("start").over(by_all))
-    later = rows.select("doc_id", "start", "before").unionByName(heads.select("doc_id", "start", "before")).where("before is not null")
-    return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    repeated = found.groupBy(F.col("seed").alias("again")).agg(F.count("*").alias("times")).where("times > 1")
+    mine = found.join(repeated, F.col("seed") == F.col("again")).select("doc_id", "seed", "times")
+    stretches = with_lists(mine, "seed", "times").mapInArrow(lambda b: _stretches(b, window, seed), columns)
+    later, first = _split_first(stretches)
+    # An anchor all of whose occurrences have this stretch has no other windows to compare.
+    open_ = first.where("same < times").select("doc_id", "start", "n", "times")
+    single = with_lists(open_, "start", "n", "times").mapInArrow(lambda b: _windows(b, window), columns)
+    return later.select("doc_id", "start", "n").unionByName(_split_first(single)[0].select("doc_id", "start", "n"))
 
 
 def _report(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -138,10 +217,10 @@ def _report(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             words = words_of(t)
             totals.append(len(words))
             if starts.is_valid:
-                s = starts.values.to_numpy(zero_copy_only=False)
+                s, n = (f.to_numpy(zero_copy_only=False) for f in starts.values.flatten())
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(edge, s, 1)
-                np.add.at(edge, s + window, -1)
+                np.add.at(edge, s + n - 1 + window, -1)
                 stay = np.cumsum(edge[:-1]) == 0
                 words = [w for w, k in zip(words, stay.tolist()) if k]
             removed.append(totals[-1] - len(words))
@@ -162,7 +241,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     if not 0 < seed <= window:
         raise ValueError("seed must be from 1 to window")
     docs = one_row_per_key(docs.select("doc_id", "text"), "doc_id", "text")
-    found = repeated_windows(docs, window, seed).withColumnRenamed("doc_id", "of")
+    found = repeated_stretches(docs, window, seed).groupBy(F.col("doc_id").alias("of")).agg(
+        F.collect_list(F.struct("start", "n")).alias("starts"))
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "starts")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(lambda b: _report(b, window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
