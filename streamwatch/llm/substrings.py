@@ -180,7 +180,8 @@ def _split_first(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     cols = ["doc_id", "start", "n", "times", "same"]
     hot = rows.where((F.col("before").isNull()) & (slices > 1)).drop("before")
     hot = hot.withColumn("before", F.lag("start").over(Window.partitionBy("h1", "h2").orderBy(*order)))
-    later = rows.where("before is not null").select(cols).unionByName(hot.where("before is not null").select(cols))
+    # `times` is read in every branch, so that all share one shuffle of `rows`.
+    later = rows.where("before is not null and times > 1").select(cols).unionByName(hot.where("before is not null").select(cols))
     first = rows.where(F.col("before").isNull() & (slices == 1)).select(cols).unionByName(hot.where("before is null").select(cols))
     return later, first
 
@@ -200,7 +201,8 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW, seed: int = SEED)
 
     found = saved(docs.mapInArrow(lambda b: _seeds(b, window, seed), f"doc_id {kind}, seeds array<bigint>"))
     found = found.select("doc_id", F.explode("seeds").alias("seed"))
-    repeated = found.groupBy(F.col("seed").alias("again")).agg(F.count("*").alias("times")).where("times > 1")
+    # Saved, so that both sides of the join are shuffles that can be split at hot seeds.
+    repeated = saved(found.groupBy(F.col("seed").alias("again")).agg(F.count("*").alias("times")).where("times > 1"))
     mine = found.join(repeated, F.col("seed") == F.col("again")).select("doc_id", "seed", "times")
     stretches = with_lists(mine, "seed", "times").mapInArrow(lambda b: _stretches(b, window, seed), columns)
     later, first = _split_first(stretches)
