@@ -9,11 +9,12 @@ take them by joining on (length, rank within the length).
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,36 +24,71 @@ from streamwatch.llm.common import saved
 LIMIT = 4096
 END_ID = 1
 SALTS = 256
-MOST_WORDS_KNOWN = 300_000
+MOST_WORDS_KNOWN = 1_000_000
 
 
 class WordIds:
     """Token ids of a text, word by word through a tokenizer that drops blanks.
 
     Such a tokenizer gives a text the ids of its blank-separated words in turn,
-    so each distinct word is encoded once. What is remembered is bounded.
+    so each distinct word is encoded once. Ids are kept as little-endian 32-bit
+    numbers. What is remembered is bounded.
+
+    New words of letters go to the tokenizer together, as one text, if its
+    vocabulary marks the ends of words: the ids are cut where a word ends, and
+    each word for itself if that gives another number of words.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, list[int]] = {"": []}
-
-    def __call__(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for w in text.replace("\n", " ").split(" "):
-            ids = known.get(w)
-            if ids is None:
-                if len(known) > MOST_WORDS_KNOWN:
-                    known.clear()
-                    known[""] = []
-                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-                if len(w) < 64:
-                    known[w] = ids
-            out += ids
-        return out
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        self.ends = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)}
+        self.known: dict[str, bytes] = {}
+
+    def _each(self, words: list[str]) -> Iterator[list[int]]:
+        return (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+
+    def _together(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of words of letters."""
+        for at in range(0, len(words), 1000):
+            some = words[at:at + 1000]
+            cuts, now = [], []
+            for i in next(self._each([" ".join(some)])):
+                now.append(i)
+                if i in self.ends:
+                    cuts.append(now)
+                    now = []
+            yield from cuts if len(cuts) == len(some) and not now else self._each(some)
+
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
+        letters = [w for w in new if w.isalpha()]
+        # A sentence's last word: its letters, then the mark.
+        marked = [w for w in new if w and w[-1] in ".,;:!?" and w[:-1].isalpha()]
+        letters += set(w[:-1] for w in marked).difference(known, letters)
+        rest = list((new | set(".,;:!?")).difference(known, letters, marked))
+        for some, found in ((letters, self._together(letters)), (rest, self._each(rest))):
+            for w, ids in zip(some, found):
+                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1]]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text. New words of a few texts at a time are encoded together."""
+        known = self.known
+        for at in range(0, len(texts), 200):
+            split = [t.replace("\n", " ").split(" ") for t in texts[at:at + 200]]
+            if len(known) > MOST_WORDS_KNOWN:
+                known.clear()
+            self._learn(set().union(*split).difference(known))
+            for words in split:
+                yield b"".join([known[w] for w in words])
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
@@ -67,16 +103,15 @@ def pieces(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, end_id: int
         encode = WordIds(shared.value)
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = encode(t or "")
-                ids.append(end_id)
-                raw = np.array(ids, dtype="<u4").tobytes()
-                for p, at in enumerate(range(0, len(ids), limit)):
+            for i, ids in enumerate(encode([t or "" for t in b.column(1).to_pylist()])):
+                ids += struct.pack("<I", end_id)
+                for p, at in enumerate(range(0, len(ids) // 4, limit)):
+                    cut = ids[4 * at:4 * (at + limit)]
                     rows.append(i)
                     piece.append(p)
                     start.append(at)
-                    length.append(min(limit, len(ids) - at))
-                    crc.append(zlib.crc32(raw[4 * at:4 * (at + limit)]))
+                    length.append(len(cut) // 4)
+                    crc.append(zlib.crc32(cut))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
