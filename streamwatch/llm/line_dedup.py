@@ -71,13 +71,13 @@ def drop_site_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN
 
 OP_SQL = f"""
 WITH p AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT source, unnest(list_distinct(list_transform(ls, x -> trim(x, ' ' || chr(9) || chr(13))))) AS line FROM p),
+l AS (SELECT source, unnest(list_distinct(list_transform(ls, lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM p),
 c AS (SELECT source, line, count(*) AS n FROM l WHERE line <> '' GROUP BY source, line),
 t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 b AS (SELECT c.source, list(line) AS bl FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
       WHERE n >= {MIN_PAGES} AND CAST(n AS DOUBLE) / total > CAST({RATIO} AS DOUBLE) GROUP BY c.source),
 k AS (SELECT p.doc_id, p.ls, CASE WHEN b.bl IS NULL THEN p.ls ELSE
-        list_filter(p.ls, x -> NOT list_contains(b.bl, trim(x, ' ' || chr(9) || chr(13)))) END AS kept
+        list_filter(p.ls, lambda x: NOT list_contains(b.bl, trim(x, ' ' || chr(9) || chr(13)))) END AS kept
       FROM p LEFT JOIN b ON p.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, CASE WHEN ls IS NULL THEN NULL WHEN len(kept) = 0 THEN '' ELSE array_to_string(kept, chr(10)) END AS text,
   CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped

@@ -23,6 +23,7 @@ TOKEN = r"[A-Za-z0-9+/_=.-]{20,}"
 #: Random strings in the default labelled samples, for each of their shapes.
 RANDOM_SAMPLES = 2000
 SMOOTH = 0.5
+BACK_OFF = 5.0
 ALPHABET = 67
 MIN_LLR = 12.0
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -105,10 +106,18 @@ def train(samples: DataFrame) -> list[float]:
               .groupBy("is_secret", "t").count().collect())
     pair = {True: [0] * 16384, False: [0] * 16384}
     first = {True: [0] * 128, False: [0] * 128}
+    second = {True: [0] * 128, False: [0] * 128}
     for r in counts:
         pair[r["is_secret"]][r["t"]] += r["count"]
         first[r["is_secret"]][r["t"] // 128] += r["count"]
-    log_p = lambda s, t: math.log((pair[s][t] + SMOOTH) / (first[s][t // 128] + SMOOTH * ALPHABET))
+        second[r["is_secret"]][r["t"] % 128] += r["count"]
+    total = {s: sum(second[s]) for s in (True, False)}
+
+    def log_p(s: bool, t: int) -> float:
+        """Transition probability, drawn towards that of the character alone where the first one is rare."""
+        alone = (second[s][t % 128] + SMOOTH) / (total[s] + SMOOTH * ALPHABET)
+        return math.log((pair[s][t] + BACK_OFF * alone) / (first[s][t // 128] + BACK_OFF))
+
     return [log_p(True, t) - log_p(False, t) for t in range(16384)]
 
 
