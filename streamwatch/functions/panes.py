@@ -38,6 +38,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from .time import duration_us, to_us
 
@@ -84,42 +85,53 @@ def sweep(panes: DataFrame, keys: list[str], k: int, pane: str = "pane", n: str
     ``block=B``: running sums per (key, B boundary positions) plus a carry,
     for few keys over long time spans.
     """
-    bounds = F.array(F.struct((F.col(pane) - F.lit(k - 1)).alias("pos"), F.col(n).alias("d")),
-                     F.struct((F.col(pane) + F.lit(1)).alias("pos"), (-F.col(n)).alias("d")))
+    # beside the measure run the number of panes in the window, which says whether it
+    # exists, and of panes with a value, without which the total is null (as in SQL)
+    kind = panes.schema[n].dataType
+    if isinstance(kind, (FloatType, DoubleType)):
+        raise ValueError("running sums of floating-point measures drift; use method='fanout'")
+    val = F.coalesce(F.col(n), F.lit(0).cast(kind))
+    has = F.col(n).isNotNull().cast("long")
+    one = F.lit(1).cast("long")
+    bounds = F.array(
+        F.struct((F.col(pane) - F.lit(k - 1)).alias("pos"), val.alias("d"), one.alias("o"), has.alias("v")),
+        F.struct((F.col(pane) + F.lit(1)).alias("pos"), (-val).cast(kind).alias("d"), (-one).alias("o"), (-has).alias("v")))
+    run = ("d", "o", "v")
     d = (panes.select(*keys, F.explode(bounds).alias("_e"))
-              .select(*keys, "_e.pos", "_e.d")
-              .groupBy(*keys, "pos").agg(F.sum("d").alias("d")))
+              .select(*keys, "_e.pos", "_e.d", "_e.o", "_e.v")
+              .groupBy(*keys, "pos").agg(*[F.sum(c).alias(c) for c in run]))
+    out = F.when(F.col("_v") > 0, F.col("_d")).alias(n)
+    starts = F.explode(F.sequence(F.col("pos"), F.col("_end") - 1)).alias(pane)
     if block is None:
         w = Window.partitionBy(*keys).orderBy("pos")
-        seg = (d.withColumn(n, F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-                .withColumn("_end", F.lead("pos").over(w))
-                .where(F.col(n) > 0))
-        return seg.select(*keys, F.explode(F.sequence(F.col("pos"), F.col("_end") - 1)).alias(pane),
-                          F.col(n).cast("long").alias(n))
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        seg = d.select(*keys, "pos", *[F.sum(c).over(upto).alias(f"_{c}") for c in run],
+                       F.lead("pos").over(w).alias("_end")).where("_o > 0")
+        return seg.select(*keys, starts, out)
     d = d.withColumn("_blk", F.floor(F.col("pos") / F.lit(block)).cast("long"))
     # running sum and next boundary within (key, block)
     wb = Window.partitionBy(*keys, "_blk").orderBy("pos")
-    d = (d.withColumn("_run", F.sum("d").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-          .withColumn("_next", F.lead("pos").over(wb)))
+    upto = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.select(*keys, "_blk", "pos", *[F.sum(c).over(upto).alias(f"_run_{c}") for c in run],
+                 F.lead("pos").over(wb).alias("_next"))
     # per block: its total (the running sum at its last boundary, a window output, so both
     # branches keep the same window and Spark reuses its shuffle) and its first boundary;
     # per key over blocks: the carry in from earlier blocks and the next block's first boundary
     wk = Window.partitionBy(*keys).orderBy("_blk")
-    summ = (d.groupBy(*keys, "_blk").agg(F.max_by("_run", "pos").alias("_tot"), F.min("pos").alias("_first"))
-             .withColumn("_carry", F.coalesce(F.sum("_tot").over(
-                 wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("_next_first", F.lead("_first").over(wk))
+    before = wk.rowsBetween(Window.unboundedPreceding, -1)
+    summ = (d.groupBy(*keys, "_blk").agg(*[F.max_by(f"_run_{c}", "pos").alias(f"_tot_{c}") for c in run],
+                                         F.min("pos").alias("_first"))
              .select(*[F.col(c).alias(f"_s_{c}") for c in keys], F.col("_blk").alias("_s_blk"),
-                     "_carry", "_next_first"))
+                     *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_carry_{c}") for c in run],
+                     F.lead("_first").over(wk).alias("_next_first")))
     # null-safe keys: no not-null filter is inferred below the join, so the shuffle is shared
     cond = [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in keys] + [F.col("_blk").eqNullSafe(F.col("_s_blk"))]
     seg = (d.join(summ, cond)
-            .select(*keys, "pos", (F.col("_run") + F.col("_carry")).alias(n),
+            .select(*keys, "pos", *[(F.col(f"_run_{c}") + F.col(f"_carry_{c}")).alias(f"_{c}") for c in run],
                     F.coalesce("_next", "_next_first").alias("_end"))
-            .where(F.col(n) > 0))
-    # a positive running sum always has a later boundary that brings it back to zero
-    return seg.select(*keys, F.explode(F.sequence(F.col("pos"), F.col("_end") - 1)).alias(pane),
-                      F.col(n).cast("long").alias(n))
+            .where("_o > 0"))
+    # a window that holds a pane always has a later boundary at which that pane leaves
+    return seg.select(*keys, starts, out)
 
 
 def slide_panes(panes: DataFrame, keys: list[str], k: int, pane: str = "pane",
@@ -128,11 +140,13 @@ def slide_panes(panes: DataFrame, keys: list[str], k: int, pane: str = "pane",
 
     ``panes`` has one row per (pane, keys) with an additive measure ``n``.
     The result has the same columns; ``pane`` now names the window's first
-    pane. Only windows with at least one contributing pane appear.
+    pane. Only windows with at least one contributing pane appear; a total may be
+    zero, negative, or null (no value in the window). Floating-point measures are
+    fanned out whatever the method: running sums would carry rounding errors along.
     """
     if k == 1:
         return panes
-    if method == "sweep":
+    if method == "sweep" and not isinstance(panes.schema[n].dataType, (FloatType, DoubleType)):
         return sweep(panes, keys, k, pane, n, block)
     b = split_factor(k)
     if b == 1 or b == k:
@@ -144,9 +158,9 @@ def slide_panes(panes: DataFrame, keys: list[str], k: int, pane: str = "pane",
 
 def pane_counts(df: DataFrame, ts: str, keys: list[str], slide, weight: str | None = None,
                 pane: str = "pane", n: str = "n") -> DataFrame:
-    """Count (or sum ``weight``) per (pane, keys)."""
+    """Count (or sum ``weight``, in its own type) per (pane, keys)."""
     slide_us = duration_us(slide)
     measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return (df.select(pane_index(ts, slide_us).alias(pane), *keys,
                       *([F.col(weight)] if weight else []))
-              .groupBy(pane, *keys).agg(measure.cast("long").alias(n)))
+              .groupBy(pane, *keys).agg(measure.alias(n)))

@@ -38,7 +38,7 @@ def window_count(df: DataFrame, ts: str, keys: list[str], size, slide=None,
         w = (F.window(ts, interval_literal(size)) if slide is None or k == 1
              else F.window(ts, interval_literal(size), interval_literal(slide)))
         measure = F.count(F.lit(1)) if weight is None else F.sum(weight)
-        return (df.groupBy(w.alias("w"), *keys).agg(measure.cast("long").alias(out))
+        return (df.groupBy(w.alias("w"), *keys).agg(measure.alias(out))
                   .select(F.col("w.start").alias("window_start"),
                           F.col("w.end").alias("window_end"), *keys, out))
     if rem != 0:
@@ -48,7 +48,7 @@ def window_count(df: DataFrame, ts: str, keys: list[str], size, slide=None,
     start = F.col("pane") * F.lit(slide_us)
     return wins.select(from_us(start, like).alias("window_start"),
                        from_us(start + F.lit(size_us), like).alias("window_end"),
-                       *keys, F.col(out).cast("long").alias(out))
+                       *keys, F.col(out))
 
 
 def windows_from_panes(panes: DataFrame, keys: list[str], size, slide=None, like=None,
@@ -67,7 +67,7 @@ def windows_from_panes(panes: DataFrame, keys: list[str], size, slide=None, like
     start = F.col("pane") * F.lit(slide_us)
     return wins.select(from_us(start, like).alias("window_start"),
                        from_us(start + F.lit(size_us), like).alias("window_end"),
-                       *keys, F.col(out).cast("long").alias(out))
+                       *keys, F.col(out))
 
 
 def _tumble(df: DataFrame, ts: str, size) -> DataFrame:

@@ -45,6 +45,7 @@ P = {
     "hot_items": {"size": "1 hour", "slide": "5 minutes", "top": 3},
     "hot_pages": {"size": "1 minute", "slide": "5 seconds", "top": 5},
     "pv_uv": {"size": "1 hour"},
+    "value_balance": {"size": "1 hour", "slide": "5 minutes"},
     "channel_promo": {"size": "1 hour", "slide": None, "exclude": "error"},
     "ad_by_region": {"size": "1 hour", "slide": "5 seconds"},
     "ad_blacklist": {"limit": 2, "size": "1 hour", "slide": "5 minutes"},
@@ -66,7 +67,7 @@ def hot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = P["hot_items"]
     ev = events(spark, sf_dir).where(F.col("event_type") == "view").select(
         "ts", prop_k().alias("item_id"))
-    counts = window_count(ev, "ts", ["item_id"], p["size"], p["slide"])
+    counts = window_count(ev, "ts", ["item_id"], p["size"], p["slide"], block=SWEEP_BLOCK)
     return _rank_int(window_topn(counts, p["top"], ["item_id"]))
 
 
@@ -74,10 +75,19 @@ def hot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hot_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = P["hot_pages"]
     ev = events(spark, sf_dir).select("ts", prop_k().alias("address"))
-    counts = window_count(ev, "ts", ["address"], p["size"], p["slide"])
+    counts = window_count(ev, "ts", ["address"], p["size"], p["slide"], block=SWEEP_BLOCK)
     return _rank_int(window_topn(counts, p["top"], ["address"]))
 
 
+# sums of a signed measure per window -------------------------------------
+def value_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole part of ``value`` above or below 50, summed per window and event type:
+    sums may be zero or negative."""
+    p = P["value_balance"]
+    ev = events(spark, sf_dir).select("ts", "event_type", (F.floor("value") - F.lit(50)).alias("w"))
+    return window_count(ev, "ts", ["event_type"], p["size"], p["slide"], weight="w", out="balance", block=SWEEP_BLOCK)
+
+
 # 3.3 PV / UV ---------------------------------------------------------------
 def _views(spark, sf_dir):
     return events(spark, sf_dir).where(F.col("event_type") == "view").select("ts", "user_id")
@@ -223,6 +233,7 @@ def temp_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOBS = {
     "hot_items": hot_items,
     "hot_pages": hot_pages,
+    "value_balance": value_balance,
     "pv_uv": pv_uv,
     "pv_uv_sql": pv_uv_sql,
     "uv_approx": uv_approx,

@@ -32,6 +32,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY n DESC, {key}) AS ra
 SELECT {_bounds(size)}, {key}, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {n}"""
 
 
+def _value_balance() -> str:
+    # literal microseconds: 1 h windows every 5 min
+    return """
+WITH w AS (SELECT event_type, CAST(floor(value) AS BIGINT) - 50 AS v, (epoch_us(ts) // 300000000 - k) * 300000000 AS ws
+           FROM events CROSS JOIN range(0, 12) AS r(k))
+SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS window_end, event_type,
+       CAST(sum(v) AS BIGINT) AS balance FROM w GROUP BY ws, event_type"""
+
+
 def _k() -> str:
     return "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
@@ -132,6 +141,7 @@ def oracle_sql() -> dict[str, str]:
                            "item_id", hi["size"], hi["slide"], hi["top"]),
         "hot_pages": _topn(f"SELECT ts, {_k()} AS address FROM events", "address",
                            hp["size"], hp["slide"], hp["top"]),
+        "value_balance": _value_balance(),
         "pv_uv": _pv_uv(),
         "pv_uv_sql": _pv_uv(),
         "uv_approx": _pv_uv(),

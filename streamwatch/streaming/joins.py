@@ -7,6 +7,8 @@ the other side's watermark proves they can no longer match.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,17 +34,22 @@ def stream_interval_join(left: DataFrame, right: DataFrame, key: str, lts: str,
 def write_split(df: DataFrame, pred: Column, main_path: str, side_path: str, name: str = "split",
                 fmt: str = "parquet", trigger: dict | None = None):
     """Main / side output of one stream (job 2.2): each micro-batch is written twice,
-    filtered, inside ``foreachBatch``. Returns the StreamingQuery."""
+    filtered, inside ``foreachBatch``. Returns the StreamingQuery.
+
+    Each micro-batch overwrites its own ``epoch=N`` folder in both outputs, so a batch
+    that failed between the two and runs again leaves no row twice.
+    """
     hit = F.coalesce(pred, F.lit(False))
 
     def each(batch: DataFrame, epoch_id: int) -> None:
         batch.persist()
-        batch.where(hit).write.mode("append").format(fmt).save(main_path)
-        batch.where(~hit).write.mode("append").format(fmt).save(side_path)
+        batch.where(hit).write.mode("overwrite").format(fmt).save(f"{main_path}/epoch={epoch_id}")
+        batch.where(~hit).write.mode("overwrite").format(fmt).save(f"{side_path}/epoch={epoch_id}")
         batch.unpersist()
 
     w = (df.writeStream.foreachBatch(each)
-         .option("checkpointLocation", checkpoint_location(df.sparkSession, name)))
+         .option("checkpointLocation", checkpoint_location(
+             df.sparkSession, f"{name}_{hashlib.md5(f'{main_path} {side_path}'.encode()).hexdigest()[:12]}")))
     if trigger:
         w = w.trigger(**trigger)
     return w.start()

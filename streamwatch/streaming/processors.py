@@ -60,6 +60,7 @@ class _Buffered(StatefulProcessor):
         self.handle = handle
         self.buf = handle.getListState("buf", self.rec_schema)
         self.drain_at = handle.getValueState("drain_at", "ms long")
+        self.drained = handle.getValueState("drained", "us long")  # watermark of the last drain
         self.setup(handle)
 
     def setup(self, handle) -> None:
@@ -82,9 +83,10 @@ class _Buffered(StatefulProcessor):
             self.drain_at.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues):
-        wm_us = timerValues.getCurrentWatermarkInMs() * 1000
-        # rows behind the watermark are late: processing them would break the order
-        recs = [rec for rec in (self.record(r) for r in rows) if not (wm_us and rec[0] < wm_us)]
+        # Rows behind this batch's watermark still precede its drain, so they can be put in order.
+        # Only rows behind the last drain cannot; Spark filters (and counts) those before they get here.
+        drained = self.drained.get()[0] if self.drained.exists() else None
+        recs = [rec for rec in (self.record(r) for r in rows) if drained is None or rec[0] >= drained]
         if recs:
             for r in recs:
                 self.buf.appendValue(r)
@@ -99,6 +101,7 @@ class _Buffered(StatefulProcessor):
         if ready:
             rest = [x for x in items if x[0] > wm_us]
             self.buf.clear()
+            self.drained.update((wm_us,))
             if rest:
                 self.buf.put(rest)
             self.drain_at.clear()

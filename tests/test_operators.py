@@ -134,3 +134,15 @@ def test_sweep_blocks_agree(spark, block):
     panes = pane_counts(ev, "ts", ["user_id"], "1 minute")
     fan = slide_panes(panes, ["user_id"], 20, method="fanout")
     assert _same(fan, sweep(panes, ["user_id"], 20, block=block))
+
+
+@pytest.mark.parametrize("kind", ["decimal(10,2)", "double", "long"])
+@pytest.mark.parametrize("block", [None, 7])
+def test_window_sums_keep_zero_negative_fractional_and_null(spark, kind, block):
+    rows = [("a", 100, "0.6"), ("a", 160, "0.6"), ("a", 220, "0.8"), ("b", 100, "5"), ("b", 170, "-5"),
+            ("c", 100, None), ("c", 400, "-2"), (None, 90, "1")]
+    df = (spark.createDataFrame(rows, "key string, s long, x string")
+          .select("key", F.timestamp_seconds("s").alias("ts"), F.col("x").cast("double").cast(kind).alias("x")))
+    got, want = (window_count(df, "ts", ["key"], "5 minutes", "1 minute", weight="x", method=m, block=block) for m in ("panes", "native"))
+    show = lambda d: sorted((str(r.key), r.window_start, None if r.n is None else round(float(r.n), 9)) for r in d.collect())
+    assert show(got) == show(want) and len(show(got)) == want.count() > 0
