@@ -1,96 +1,16 @@
-"""Time buckets that split a key's sequence across tasks.
+"""Time buckets that split a key's rows across tasks.
 
-Per-key sequential logic (the next event of a user, the first payment after an
-order) is normally a window partitioned by the key, which puts every row of a
-hot key into one task. When the logic only looks a bounded ``horizon`` ahead,
-the sequence can be cut into time buckets of width ``W``, a row's home bucket
-being ``floor(t / W)``.
-
-``with_next_heads`` (any ``W``): a pattern that starts at a home row and needs
-the next ``n`` rows of its key within ``horizon`` finds them among the later
-home rows of its bucket and the first ``n`` rows of each of the next
-``ceil(horizon / W)`` buckets, which are copied, marked not-home, into the
-bucket. If the continuation reaches bucket ``b + 2`` then bucket ``b + 1``
-had fewer than ``n`` rows, all of them copied, so nothing in between is
-missing and evaluating the pattern in partition ``(key, b)`` is exact. The
-heads come from a ``row_number() <= n`` that Spark limits map-side, so they
-are a few rows per bucket; ``W`` is chosen for the data's density, not the
-horizon.
-
-``with_lookahead_buckets`` (``W >= horizon``): every row in the first
-``horizon`` of a bucket is copied back instead (copy fraction
-``horizon / W``); used where the logic needs all rows in the horizon.
-
-The same bucket numbers turn a time-range join into an equi-join on
-``(key, bucket)`` plus the range test (``range_buckets``).
+A time-range join becomes an equi-join on ``(key, bucket)`` plus the range
+test: one side goes to its own bucket, the other to every bucket its range
+touches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .time import duration_us, to_us
-
-# Bucket width as a multiple of the horizon: 1/8 of rows get a copy.
-DEFAULT_BUCKET_FACTOR = 8
-# Head-copy buckets never default wider than this (a hot key's bucket is one task).
-MAX_DEFAULT_HEAD_BUCKET_US = 3_600_000_000
-
-
-def bucket_width_us(horizon, bucket=None, factor: int = DEFAULT_BUCKET_FACTOR) -> int:
-    if bucket is not None:
-        w = duration_us(bucket)
-        if w < duration_us(horizon):
-            raise ValueError("bucket width must be at least the horizon")
-        return w
-    return max(duration_us(horizon) * factor, 1_000_000)
-
-
-def head_bucket_width_us(horizon, bucket=None) -> int:
-    """Width for ``with_next_heads``: any positive width; default min(8 * horizon, 1 hour)."""
-    if bucket is not None:
-        return max(duration_us(bucket), 1)
-    return max(min(duration_us(horizon) * DEFAULT_BUCKET_FACTOR, MAX_DEFAULT_HEAD_BUCKET_US), 1_000_000)
-
-
-def with_next_heads(df: DataFrame, keys: list[str], ts: str, order: list, horizon_us: int, width_us: int,
-                    n: int, eligible: Column | None = None, bucket: str = "_bucket",
-                    home: str = "_home") -> DataFrame:
-    """Home rows plus, per bucket, copies of the first ``n`` eligible rows of the next
-    ``ceil(horizon / W)`` buckets (see module doc)."""
-    hb = F.floor(to_us(ts) / F.lit(width_us)).cast("long")
-    base = df.withColumn("_hb", hb)
-    home_rows = base.withColumn(bucket, F.col("_hb")).withColumn(home, F.lit(True)).drop("_hb")
-    if n <= 0:
-        return home_rows
-    m = -(-horizon_us // width_us)
-    src = base if eligible is None else base.where(eligible)
-    w = Window.partitionBy(*keys, "_hb").orderBy(*order)
-    heads = src.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
-    copies = (heads.withColumn(bucket, F.explode(F.sequence(F.col("_hb") - F.lit(m), F.col("_hb") - 1)))
-                   .withColumn(home, F.lit(False)).drop("_hb"))
-    return home_rows.unionByName(copies)
-
-
-def with_lookahead_buckets(df: DataFrame, ts: str, horizon_us: int, width_us: int,
-                           copy_when: Column | None = None, bucket: str = "_bucket",
-                           home: str = "_home") -> DataFrame:
-    """Add ``bucket`` and ``home``; rows near a bucket start are duplicated backwards.
-
-    ``copy_when`` restricts which rows may be copied (e.g. only the second
-    kind of event in a followed-by pattern).
-    """
-    us = to_us(ts)
-    b = F.floor(us / F.lit(width_us)).cast("long")
-    near = (us - b * F.lit(width_us)) <= F.lit(horizon_us)
-    if copy_when is not None:
-        near = near & copy_when
-    buckets = F.when(near, F.array(b, b - 1)).otherwise(F.array(b))
-    return (df.withColumn("_home_b", b)
-              .withColumn(bucket, F.explode(buckets))
-              .withColumn(home, F.col(bucket) == F.col("_home_b"))
-              .drop("_home_b"))
+from .time import to_us
 
 
 def home_bucket(ts: str, width_us: int) -> Column:

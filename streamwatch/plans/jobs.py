@@ -58,6 +58,10 @@ P = {
 }
 
 
+#: Channel or province of events whose user has no customer row.
+UNKNOWN = "unknown"
+
+
 def _rank_int(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.col("rank").cast("int"))
 
@@ -123,7 +127,8 @@ def channel_promo(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts", "user_id", F.col("event_type").alias("behavior"))
     slide = p["slide"] or p["size"]
     panes = pane_counts(ev, "ts", ["user_id", "behavior"], slide)
-    by_channel = (panes.join(user_channel(spark, sf_dir), "user_id")
+    by_channel = (panes.join(user_channel(spark, sf_dir), "user_id", "left")
+                  .withColumn("channel", F.coalesce("channel", F.lit(UNKNOWN)))
                   .groupBy("pane", "channel", "behavior").agg(F.sum("n").alias("n")))
     return windows_from_panes(by_channel, ["channel", "behavior"], p["size"], slide, like)
 
@@ -133,7 +138,8 @@ def _per_province_windows(spark, sf_dir, ev, size, slide, like):
     """Provinces are few and the time axis is long, so the sweep runs in blocks
     (parallel over provinces x blocks instead of provinces)."""
     panes = pane_counts(ev, "ts", ["user_id"], slide)
-    by_prov = (panes.join(user_province(spark, sf_dir), "user_id")
+    by_prov = (panes.join(user_province(spark, sf_dir), "user_id", "left")
+               .withColumn("province", F.coalesce("province", F.lit(UNKNOWN)))
                .groupBy("pane", "province").agg(F.sum("n").alias("n")))
     return windows_from_panes(by_prov, ["province"], size, slide, like, block=SWEEP_BLOCK)
 

@@ -54,8 +54,8 @@ SELECT make_timestamp(epoch_us(ts) // {s} * {s}) AS window_start,
 FROM events WHERE event_type = 'view' GROUP BY 1, 2"""
 
 
-_PROVINCE = ("JOIN customer c ON e.user_id = c.c_custkey "
-             "JOIN nation na ON c.c_nationkey = na.n_nationkey")
+_PROVINCE = ("LEFT JOIN customer c ON e.user_id = c.c_custkey "
+             "LEFT JOIN nation na ON c.c_nationkey = na.n_nationkey")
 
 
 def _ranked_by_day() -> str:
@@ -146,12 +146,12 @@ def oracle_sql() -> dict[str, str]:
         "pv_uv_sql": _pv_uv(),
         "uv_approx": _pv_uv(),
         "channel_promo": f"""
-WITH w AS ({_sliding(f"SELECT e.ts, c.c_mktsegment AS channel, e.event_type AS behavior FROM events e "
-                     f"JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type <> '{cp['exclude']}'",
+WITH w AS ({_sliding(f"SELECT e.ts, coalesce(c.c_mktsegment, 'unknown') AS channel, e.event_type AS behavior FROM events e "
+                     f"LEFT JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type <> '{cp['exclude']}'",
                      cp["size"], cp["slide"])})
 SELECT {_bounds(cp["size"])}, channel, behavior, count(*) AS n FROM w GROUP BY ws, channel, behavior""",
         "ad_by_region": f"""
-WITH w AS ({_sliding(f"SELECT e.ts, na.n_name AS province FROM events e {_PROVINCE} "
+WITH w AS ({_sliding(f"SELECT e.ts, coalesce(na.n_name, 'unknown') AS province FROM events e {_PROVINCE} "
                      "WHERE e.event_type = 'click'", ar["size"], ar["slide"])})
 SELECT {_bounds(ar["size"])}, province, count(*) AS n FROM w GROUP BY ws, province""",
         "ad_blacklist_alerts": f"""
@@ -159,7 +159,7 @@ WITH r AS ({_ranked_by_day()})
 SELECT user_id, event_type, day, ts AS alert_ts, event_id AS alert_event_id FROM r WHERE rn = {ab["limit"] + 1}""",
         "ad_blacklist_counts": f"""
 WITH r AS ({_ranked_by_day()}),
-w AS ({_sliding(f"SELECT e.ts, na.n_name AS province FROM r e {_PROVINCE} WHERE e.rn <= {ab['limit']}",
+w AS ({_sliding(f"SELECT e.ts, coalesce(na.n_name, 'unknown') AS province FROM r e {_PROVINCE} WHERE e.rn <= {ab['limit']}",
                 ab["size"], ab["slide"])})
 SELECT {_bounds(ab["size"])}, province, count(*) AS n FROM w GROUP BY ws, province""",
         "login_fail": _login_fail(P["login_fail"]["times"], P["login_fail"]["within"]),

@@ -9,7 +9,7 @@ from streamwatch.plans.jobs import JOBS
 
 SF = "/root/testdata/sf0.001"
 # how many times a query may read the events table (see README, "Read once")
-EVENT_READS = {"order_timeout": 3, "reconcile": 4, "reconcile_ok": 2, "login_fail": 2, "login_fail_3in6h": 2}
+EVENT_READS = {"reconcile": 4, "reconcile_ok": 2}
 GROUP_LIMIT = {"hot_items", "hot_pages", "ad_blacklist_alerts", "ad_blacklist_counts"}
 FILTERED = {"hot_items", "pv_uv", "pv_uv_sql", "uv_approx", "channel_promo", "ad_by_region",
             "order_timeout", "reconcile", "reconcile_ok"}
