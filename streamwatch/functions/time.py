@@ -92,6 +92,22 @@ def with_event_time(df: DataFrame, col: str, out: str = "ts", unit: str = "s",
     return df
 
 
+def with_delay(df: DataFrame, ts: str, delay) -> DataFrame:
+    """``df`` with a watermark on ``ts``; ``delay=None``: it already carries one."""
+    if delay is None:
+        return df
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, interval_literal(delay))
+
+
+def after_watermark(pred: Column, ts: str) -> Column:
+    """A filter that stays above the watermark on ``ts``, so the rows it drops still move event time.
+
+    The optimizer moves a filter below the watermark unless it refers to the event time in
+    one unsplit expression. Rows where ``pred`` is null are dropped, as by a plain filter.
+    """
+    return F.coalesce(pred, F.year(F.col(ts)) < F.lit(-9999))
+
+
 def day_of(c) -> Column:
     """Calendar day (UTC) of an event time."""
     c = F.col(c) if isinstance(c, str) else c

@@ -12,19 +12,19 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import duration_us, interval_literal
+from ..functions.time import duration_us, with_delay
 from ..session import checkpoint_location
 
 
 def stream_interval_join(left: DataFrame, right: DataFrame, key: str, lts: str, rts: str, lower, upper,
                          left_delay="0 seconds", right_delay="0 seconds",
                          right_key: str | None = None) -> DataFrame:
-    """Inner join with ``lower <= right.rts - left.lts <= upper`` (inclusive); key dropped from the right."""
+    """Inner join with ``lower <= right.rts - left.lts <= upper`` (inclusive); key dropped from the right.
+    A delay of None: that side carries a watermark."""
     rk = right_key or key
     lo, hi = duration_us(lower), duration_us(upper)
-    L = left.withColumn(lts, F.col(lts).cast("timestamp")).withWatermark(lts, interval_literal(left_delay))
-    R = (right.withColumnRenamed(rk, "_rk").withColumn(rts, F.col(rts).cast("timestamp"))
-              .withWatermark(rts, interval_literal(right_delay)))
+    L = with_delay(left, lts, left_delay)
+    R = with_delay(right, rts, right_delay).withColumnRenamed(rk, "_rk")
     cond = ((L[key] == R["_rk"])
             & (R[rts] >= L[lts] + F.expr(f"INTERVAL {lo} MICROSECONDS"))
             & (R[rts] <= L[lts] + F.expr(f"INTERVAL {hi} MICROSECONDS")))

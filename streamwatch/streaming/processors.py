@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.time import duration_us, from_us, interval_literal, to_us
+from ..functions.time import after_watermark, duration_us, from_us, to_us, with_delay
 
 DAY_US = 86_400_000_000
 
@@ -160,13 +160,14 @@ def stream_consecutive(df: DataFrame, key, ts: str, pred, times: int = 2, within
                        tiebreak: str | None = None, delay="0 seconds") -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
     within_us = duration_us(within)
-    src = df.select(*keys, F.col(ts).cast("timestamp").alias("_t"), to_us(ts).alias("_us"),
+    src = with_delay(df, ts, delay).select(
+                    *keys, F.col(ts).alias("_t"), to_us(ts).alias("_us"),
                     (F.col(tiebreak).cast("long") if tiebreak else F.lit(0).cast("long")).alias("_tb"),
                     F.coalesce(pred, F.lit(False)).alias("_hit"))
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType()),
         T.StructField("first_tb", T.LongType()), T.StructField("last_tb", T.LongType())])
-    out = (src.withWatermark("_t", interval_literal(delay)).groupBy(*keys)
+    out = (src.groupBy(*keys)
            .transformWithState(ConsecutiveProcessor(keys, times, within_us), schema, "Append", "EventTime"))
     return out.select(*keys, from_us("first_us").alias("first_ts"), from_us("last_us").alias("last_ts"),
                       *([F.col("first_tb").alias(f"first_{tiebreak}"), F.col("last_tb").alias(f"last_{tiebreak}")]
@@ -231,15 +232,15 @@ class FollowedByProcessor(_Buffered):
 def stream_followed_by(df: DataFrame, key, ts: str, is_first, is_second, within="15 minutes",
                        tiebreak: str | None = None, delay="0 seconds") -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
-    src = (df.where(is_first | is_second)
-             .select(*keys, F.col(ts).cast("timestamp").alias("_t"), to_us(ts).alias("_us"),
+    src = (with_delay(df, ts, delay).where(after_watermark(is_first | is_second, ts))
+             .select(*keys, F.col(ts).alias("_t"), to_us(ts).alias("_us"),
                      F.when(is_first, F.lit(0)).otherwise(F.lit(1)).alias("_k"),
                      (F.col(tiebreak).cast("long") if tiebreak else F.lit(0).cast("long")).alias("_tb")))
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("kind", T.StringType()), T.StructField("first_us", T.LongType()),
         T.StructField("second_us", T.LongType()), T.StructField("first_tb", T.LongType()),
         T.StructField("second_tb", T.LongType())])
-    out = (src.withWatermark("_t", interval_literal(delay)).groupBy(*keys)
+    out = (src.groupBy(*keys)
            .transformWithState(FollowedByProcessor(keys, duration_us(within)), schema, "Append", "EventTime"))
     return out.select(*keys, "kind", from_us("first_us").alias("first_ts"),
                       from_us("second_us").alias("second_ts"),
@@ -306,12 +307,13 @@ class RisingProcessor(_Buffered):
 def stream_rising(df: DataFrame, key, ts: str, value: str, duration="10 seconds",
                   tiebreak: str | None = None, delay="0 seconds", alarm: str = "evidence") -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
-    src = df.select(*keys, F.col(ts).cast("timestamp").alias("_t"), to_us(ts).alias("_us"),
+    src = with_delay(df, ts, delay).select(
+                    *keys, F.col(ts).alias("_t"), to_us(ts).alias("_us"),
                     (F.col(tiebreak).cast("long") if tiebreak else F.lit(0).cast("long")).alias("_tb"),
                     F.col(value).cast("double").alias("_v"))
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("run_start_us", T.LongType()), T.StructField("alarm_us", T.LongType())])
-    out = (src.withWatermark("_t", interval_literal(delay)).groupBy(*keys)
+    out = (src.groupBy(*keys)
            .transformWithState(RisingProcessor(keys, duration_us(duration), alarm), schema, "Append", "EventTime"))
     return out.select(*keys, from_us("run_start_us").alias("run_start"), from_us("alarm_us").alias("alarm_ts"))
 
@@ -361,13 +363,14 @@ def stream_blacklist(df: DataFrame, keys: list[str], ts: str, limit: int = 100,
     aggregation can follow directly (``stream_window_count(..., delay=None)``).
     """
     keys = list(keys)
-    src = df.select(*keys, F.col(ts).cast("timestamp").alias("_t"), to_us(ts).alias("_us"),
+    src = with_delay(df, ts, delay).select(
+                    *keys, F.col(ts).alias("_t"), to_us(ts).alias("_us"),
                     (F.col(tiebreak).cast("long") if tiebreak else F.lit(0).cast("long")).alias("_tb"))
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("day", T.LongType()), T.StructField("us", T.LongType()),
         T.StructField("tb", T.LongType()), T.StructField("kind", T.StringType()),
         T.StructField("_t", T.TimestampType())])
-    out = (src.withWatermark("_t", interval_literal(delay)).groupBy(*keys)
+    out = (src.groupBy(*keys)
            .transformWithState(BlacklistProcessor(keys, limit), schema, "Append", "EventTime",
                                eventTimeColumnName="_t"))
     return out.select(*keys, F.date_from_unix_date("day").alias("day"), F.col("_t").alias(ts),
@@ -464,11 +467,13 @@ class ReconcileProcessor(StatefulProcessor):
 
 def stream_reconcile(pays: DataFrame, receipts: DataFrame, key: str, pay_ts: str, receipt_ts: str,
                      lower, upper, pay_id: str, receipt_id: str, delay="0 seconds") -> DataFrame:
-    """The connect + CoProcessFunction job: both streams tagged, unioned, one watermark."""
-    tagged = (pays.select(F.col(key).alias("_key"), F.col(pay_ts).cast("timestamp").alias("_t"),
+    """The connect + CoProcessFunction job: both streams tagged and unioned. The watermark is set
+    on each stream (``delay=None``: both carry one); the slower one counts."""
+    pays, receipts = with_delay(pays, pay_ts, delay), with_delay(receipts, receipt_ts, delay)
+    tagged = (pays.select(F.col(key).alias("_key"), F.col(pay_ts).alias("_t"),
                           F.col(pay_id).cast("long").alias("_id"), F.lit(0).alias("_side"))
               .unionByName(receipts.select(F.col(key).alias("_key"),
-                                           F.col(receipt_ts).cast("timestamp").alias("_t"),
+                                           F.col(receipt_ts).alias("_t"),
                                            F.col(receipt_id).cast("long").alias("_id"),
                                            F.lit(1).alias("_side")))
               .withColumn("_us", to_us("_t")))
@@ -476,8 +481,7 @@ def stream_reconcile(pays: DataFrame, receipts: DataFrame, key: str, pay_ts: str
     schema = T.StructType([T.StructField("_key", ktype), T.StructField("kind", T.StringType()),
                            T.StructField("pay_us", T.LongType()), T.StructField("pay_id", T.LongType()),
                            T.StructField("receipt_us", T.LongType()), T.StructField("receipt_id", T.LongType())])
-    out = (tagged
-           .withWatermark("_t", interval_literal(delay)).groupBy("_key")
+    out = (tagged.groupBy("_key")
            .transformWithState(ReconcileProcessor(["_key"], duration_us(lower), duration_us(upper)),
                                schema, "Append", "EventTime"))
     return out.select(F.col("_key").alias(key), "kind", from_us("pay_us").alias(pay_ts),

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..functions.time import duration_us, interval_literal, to_us
+from ..functions.time import duration_us, interval_literal, to_us, with_delay
 
 # Above this many windows per event the explode-the-starts form is used.
 STREAM_NATIVE_MAX_OVERLAP = 60
@@ -109,7 +109,7 @@ class SlidingPanesProcessor(StatefulProcessor):
 def _stream_panes(df, ts, keys, size_us, slide_us, k, delay, out):
     gkeys = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
-    panes = (src.withWatermark(ts, interval_literal(delay))
+    panes = (with_delay(src, ts, delay)
                 .groupBy(F.window(ts, interval_literal(timedelta(microseconds=slide_us))).alias("_pw"), *gkeys)
                 .agg(F.count(F.lit(1)).alias("_n"))
                 .select(*gkeys, (F.unix_micros(F.col("_pw.start")) / F.lit(slide_us)).cast("long").alias("_pane"),
@@ -118,18 +118,20 @@ def _stream_panes(df, ts, keys, size_us, slide_us, k, delay, out):
         T.StructField("_ws", T.LongType()), T.StructField("_n", T.LongType())])
     wins = (panes.groupBy(*gkeys)
             .transformWithState(SlidingPanesProcessor(gkeys, k, slide_us), schema, "Append", "EventTime"))
-    return wins.select(F.timestamp_micros("_ws").alias("window_start"),
-                       F.timestamp_micros(F.col("_ws") + F.lit(size_us)).alias("window_end"),
-                       *keys, F.col("_n").alias(out))
+    start, end = F.timestamp_micros("_ws"), F.timestamp_micros(F.col("_ws") + F.lit(size_us))
+    return wins.select(F.struct(start.alias("start"), end.alias("end")).alias("window"), start.alias("window_start"),
+                       end.alias("window_end"), *keys, F.col("_n").alias(out))
 
 
 def stream_window_count(df: DataFrame, ts: str, keys: list[str], size, slide=None, delay="0 seconds",
                         out: str = "n", method: str = "auto") -> DataFrame:
     """Append-mode counts per window and key.
 
-    Columns: ``window_start``, ``window_end``, keys, ``out``; the ``native`` and
-    ``explode`` forms also keep ``window`` (the event-time struct) so another
-    aggregation can chain on it.
+    Columns: ``window`` (start, end), ``window_start``, ``window_end``, keys,
+    ``out``, whatever the method; in the ``native`` and ``explode`` forms ``window``
+    is an event-time column, so another aggregation can chain on it.
+    ``delay=None``: the input already carries a watermark (e.g. a stateful
+    operator's output); the ``explode`` form needs a delay.
 
     ``method``: ``native`` (``window(ts, size, slide)``), ``explode`` (each
     event to its window starts, then one aggregation), ``panes`` (Spark counts
@@ -149,9 +151,7 @@ def stream_window_count(df: DataFrame, ts: str, keys: list[str], size, slide=Non
     if method == "native" or rem:
         w = (F.window(ts, interval_literal(size)) if slide is None
              else F.window(ts, interval_literal(size), interval_literal(slide)))
-        # delay=None: the input already carries a watermark (e.g. a stateful operator's output)
-        src = df if delay is None else df.withWatermark(ts, interval_literal(delay))
-        return (src
+        return (with_delay(df, ts, delay)
                   .groupBy(w.alias("window"), *keys).agg(F.count(F.lit(1)).alias(out))
                   .select("window", F.col("window.start").alias("window_start"),
                           F.col("window.end").alias("window_end"), *keys, out))
@@ -259,15 +259,23 @@ def stream_pv(df: DataFrame, ts: str, size="1 hour", delay="0 seconds") -> DataF
 
 def stream_uv_exact(df: DataFrame, ts: str, user: str, size="1 hour", delay="0 seconds") -> DataFrame:
     """Exact UV: drop duplicate (window, user) with watermark-bounded state, then count."""
-    w = df.withWatermark(ts, interval_literal(delay)).withColumn("window", F.window(ts, interval_literal(size)))
+    w = with_delay(df, ts, delay).withColumn("window", F.window(ts, interval_literal(size)))
     return (w.dropDuplicates(["window", user]).groupBy("window").agg(F.count(F.lit(1)).alias("uv"))
              .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "uv"))
 
 
+def stream_pv_uv(df: DataFrame, ts: str, user: str, size="1 hour", delay="0 seconds") -> DataFrame:
+    """PV and exact UV: rows per (window, user), then per window. State: one row per user of an open window."""
+    per_user = (with_delay(df, ts, delay).groupBy(F.window(ts, interval_literal(size)).alias("window"), user)
+                .agg(F.count(F.lit(1)).alias("n")))
+    return (per_user.groupBy("window").agg(F.sum("n").alias("pv"), F.count(user).alias("uv"))
+            .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "pv", "uv"))
+
+
 def stream_pv_uv_approx(df: DataFrame, ts: str, user: str, size="1 hour", delay="0 seconds",
                         lg_k: int = 12) -> DataFrame:
     """PV and HLL-sketch UV in one aggregation; state per window is 2^lg_k registers."""
-    return (df.withWatermark(ts, interval_literal(delay))
+    return (with_delay(df, ts, delay)
               .groupBy(F.window(ts, interval_literal(size)).alias("window"))
               .agg(F.count(F.lit(1)).alias("pv"), F.hll_sketch_agg(user, lg_k).alias("_s"))
               .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
