@@ -18,19 +18,20 @@ from ..schemas import LOGS
 
 def read_log(spark: SparkSession, kind: str, path: str, streaming: bool = False,
              event_time: str | None = "event_time", delay=None,
-             max_files_per_trigger: int | None = None) -> DataFrame:
+             max_files_per_trigger: int | None = None, pattern: str | None = None) -> DataFrame:
     """Read one of the logs; adds a ``timestamp`` column ``event_time`` from epoch seconds.
 
-    With ``delay`` a watermark is set on ``event_time``.
+    With ``delay`` a watermark is set on ``event_time``. ``pattern``: file names to read in ``path``.
     """
     schema = LOGS[kind]
+    glob = {"pathGlobFilter": pattern} if pattern else {}
     if streaming:
-        r = spark.readStream.schema(schema)
+        r = spark.readStream.schema(schema).options(**glob)
         if max_files_per_trigger:
             r = r.option("maxFilesPerTrigger", max_files_per_trigger)
         df = r.csv(path, header=False, mode="FAILFAST")
     else:
-        df = spark.read.schema(schema).csv(path, header=False, mode="FAILFAST")
+        df = spark.read.schema(schema).options(**glob).csv(path, header=False, mode="FAILFAST")
     if event_time:
         df = with_event_time(df, "ts", out=event_time, unit="s", delay=delay)
     return df
