@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import FIXTURES
-from streamwatch.plans.logs import LOG_JOBS, logs_in
+from streamwatch.plans.logs import BATCH_ONLY, LOG_JOBS, logs_in
 from streamwatch.streaming.runner import run_available
 from test_streaming import rows_of
 
@@ -65,7 +65,7 @@ def test_described_logs(spark, folder):
         {("c0", "click", 3), ("c1", "click", 3)}
 
 
-@pytest.mark.parametrize("name", sorted(LOG_JOBS))
+@pytest.mark.parametrize("name", sorted(set(LOG_JOBS) - BATCH_ONLY))
 def test_stream_equals_batch(spark, folder, name):
     job, end = LOG_JOBS[name], F.timestamp_seconds(F.lit(FAR - 10 * 86400))
     log = logs_in(spark, folder, streaming=True, delay="3 days", max_files_per_trigger=1)
@@ -78,3 +78,10 @@ def test_stream_equals_batch(spark, folder, name):
     cols = sorted(got.columns)
     assert rows_of(got.where(early), cols) == rows_of(want.where(early), cols)
     assert want.where(early).count() > 0
+
+
+def test_batch_only_jobs_say_so(spark, folder):
+    for name in BATCH_ONLY:
+        assert batch(spark, name).count() > 0
+        with pytest.raises(ValueError, match="batch form"):
+            LOG_JOBS[name](logs_in(spark, folder, streaming=True))
