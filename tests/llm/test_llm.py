@@ -88,6 +88,19 @@ def test_secret_spans_and_redaction(spark):
             assert r.red == r.text
 
 
+@pytest.mark.parametrize("copies", [1, 1000])
+def test_bare_secrets_are_found_without_samples(spark, copies):
+    rnd = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secrets = ["".join(rnd.choice(chars) for _ in range(32)) for _ in range(30)]
+    plain = ["getUserAccountInformation", "internationalization_settings", "mail.corporate.example.com", "=" * 30, "12345678901234567890",
+             "/var/lib/postgres/backups/latest.tar.gz", "verschwiegenheitserklaerung", "release-notes-2021-03-04.html"]
+    rows = [(i, f"the value {s} stands here") for i, s in enumerate(secrets * copies)] + [(-1 - i, f"see {t} there") for i, t in enumerate(plain)]
+    found = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = found.select("doc_id", secret_scan.span_string(F.col("spans")).alias("spans")).groupBy((F.col("doc_id") < 0).alias("plain"), "spans").count().collect()
+    assert {(r["plain"], r["spans"]): r["count"] for r in got} == {(False, "markov:10:42"): len(secrets) * copies, (True, ""): len(plain)}
+
+
 def _brute_simhash(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
     grams = [b" ".join(w[i:i + 3]) for i in range(len(w) - 2)] if len(w) > 3 else [b" ".join(w)] if w else []
