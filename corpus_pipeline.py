@@ -38,8 +38,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def site_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars follows."""
-    found = line_dedup.drop_site_lines(docs.select(COLUMNS))
+    """Documents without their source's boilerplate lines; n_chars follows.
+
+    A line counts once for each different text of the source, so copies of a document keep theirs for near-dedup.
+    """
+    found = line_dedup.drop_site_lines(docs.select(COLUMNS), by_text=True)
     return _documents(found.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 

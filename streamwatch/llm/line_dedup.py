@@ -3,6 +3,8 @@
 A line is boilerplate of a host if the share of the host's pages that contain
 it is above ``ratio`` (and at least ``min_pages`` pages do). Lines are compared
 without surrounding blanks; blank lines are never counted and never dropped.
+Pages are rows, or with ``by_text`` the different texts of a host, so that
+copies of a page do not make its own lines boilerplate.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamwatch.llm.common import fresh
+from streamwatch.llm.common import fresh, saved
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -26,18 +28,33 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
 
 
+def _page_texts(src: DataFrame) -> DataFrame:
+    """(host, keys): one row for each different set of lines of a host; travels as keys, copies meet before the shuffle."""
+    line = F.array_distinct(F.transform(F.split("text", "\n", -1), _trimmed))
+    keys = F.array_sort(F.transform(F.filter(line, lambda x: x != ""), _key))
+    return (src.select("host", keys.alias("keys"))
+            .select("host", F.xxhash64("keys").alias("a"), F.xxhash64("keys", F.lit(1)).alias("b"), "keys")
+            .dropDuplicates(["host", "a", "b"]).select("host", "keys"))
+
+
 def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
-                      host: str = "source", text: str = "text") -> DataFrame:
+                      host: str = "source", text: str = "text", by_text: bool = False) -> DataFrame:
     """(host, lines): per host the keys of its boilerplate lines.
 
-    A page counts a line once. Lines above the ratio number at most (mean lines
-    per page) / ratio on a host, so the array is bounded whatever the host's size.
-    A host without boilerplate has no row; null is a host like any other.
+    A page counts a line once. With ``by_text`` pages of a host with the same set
+    of lines (blanks aside) count as one page, in the line's count and in the total.
+    Lines above the ratio number at most (mean lines per page) / ratio on a host,
+    so the array is bounded whatever the host's size. A host without boilerplate
+    has no row; null is a host like any other.
     """
     src = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    line = F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _trimmed)))
-    counts = (src.select("host", line.alias("line")).where("line <> ''")
-              .select("host", _key(F.col("line")).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")))
+    if by_text:
+        src = saved(_page_texts(src))
+        keys = src.select("host", F.explode("keys").alias("key"))
+    else:
+        line = F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _trimmed)))
+        keys = src.select("host", line.alias("line")).where("line <> ''").select("host", _key(F.col("line")).alias("key"))
+    counts = keys.groupBy("host", "key").agg(F.count("*").alias("n"))
     totals = src.groupBy(F.col("host").alias("site")).agg(F.count("*").alias("total"))
     return (counts.join(totals, F.col("host").eqNullSafe(F.col("site")))
             .where((F.col("n") >= min_pages) & (F.col("n") / F.col("total") > F.lit(float(ratio))))
@@ -45,7 +62,7 @@ def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = M
 
 
 def drop_site_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
-                    host: str = "source", text: str = "text") -> DataFrame:
+                    host: str = "source", text: str = "text", by_text: bool = False) -> DataFrame:
     """``pages`` without boilerplate lines, plus ``n_lines`` and ``n_dropped``.
 
     One output row per input row, repeated rows included; other columns are kept
@@ -55,7 +72,7 @@ def drop_site_lines(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN
     out_cols = [c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")]
     pages = pages.select(out_cols)
     site, lines, split, kept = fresh(pages, "site", "lines", "split", "kept")
-    drop = boilerplate_lines(pages, ratio, min_pages, host, text).toDF(site, lines)
+    drop = boilerplate_lines(pages, ratio, min_pages, host, text, by_text).toDF(site, lines)
     joined = pages.join(drop, pages[host].eqNullSafe(drop[site]), "left")
     joined = joined.withColumn(split, F.split(F.col(text), "\n", -1))
     is_dropped = lambda x: F.array_contains(F.col(lines), _key(_trimmed(x)))

@@ -61,6 +61,19 @@ def test_line_dedup_equals_sql(spark):
     assert sorted(map(tuple, queries.op1_line_dedup(spark, SF).collect())) == exp
 
 
+def test_copies_of_a_document_leave_one_with_its_text(spark):
+    import corpus_pipeline
+    copy = "alpha beta gamma\ndelta epsilon zeta\n\neta theta iota"
+    rows = [(i, copy + " " * (i % 2) if i % 3 == 0 else f"menu\nown line {i} of number {i * 7919}\nanother {i * 104729}", "en", "s", 1) for i in range(30)]
+    rows += [(100 + i, "one line only" if i < 5 else f"text {i} {i * 7907}", "en", "t", 1) for i in range(15)]
+    docs = corpus_pipeline.site_line_dedup(spark, spark.createDataFrame(rows, DOCS), SF)
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert left[0] == copy and left[100] == "one line only" and all(t.strip() for t in left.values())
+    assert not any(t.startswith("menu") for t in left.values())
+    kept = [r.text for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert kept.count(copy) == 1 and kept.count("one line only") == 1 and "" not in kept
+
+
 def _base_spans(text):
     kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
              ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24)]
