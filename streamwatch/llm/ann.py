@@ -3,8 +3,9 @@
 Vectors are projected at random to a few dimensions, shifted at random and
 ordered along a Hilbert curve, ``ORDERINGS`` times over. Each ordering is cut
 into key ranges of about equal size. A query looks at the ranges around its own
-place (its window); rows travel as 8-bit codes, the best of each range merge,
-and the best of all are ranked again by exact cosine on the original vectors.
+place (its window); rows travel as their original components and are ranked by
+cosine in double precision, so near copies are told apart, the best of each
+range merge, and the best of all are ranked again.
 
 How much a window must hold depends on the data: vectors without structure need
 a share of all rows (``WINDOW`` as a fraction), clustered ones a number of rows.
@@ -71,19 +72,26 @@ def _frames(dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _unit(batch: pa.RecordBatch, i: int, dim: int) -> np.ndarray:
-    x = batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _spread(ids: np.ndarray, ordering: int) -> np.ndarray:
+    """``TIE_BITS`` mixed bits of each id, others in each ordering (SplitMix64)."""
+    x = ids.astype(np.uint64) + np.uint64((ordering + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(64 - TIE_BITS)
+
+
 def _keys(unit: np.ndarray, ids: np.ndarray, frames: list) -> np.ndarray:
-    """Curve keys of unit vectors, one column for each ordering; equal cells are spread by the row's id."""
-    tie = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TIE_BITS)
+    """Curve keys of unit vectors, one column for each ordering; equal cells are spread by the row's id, anew in each ordering."""
     out = []
-    for q, shift in frames:
+    for t, (q, shift) in enumerate(frames):
         y = unit @ q * np.sqrt(unit.shape[1])  # about standard normal if the vectors have no direction
         cells = np.clip(((y + 3) / 7 * 2 ** BITS + shift).astype(np.int64), 0, 2 ** BITS - 1)
-        out.append((hilbert(cells, BITS) << np.uint64(TIE_BITS)) | tie)
+        out.append((hilbert(cells, BITS) << np.uint64(TIE_BITS)) | _spread(ids, t))
     return np.stack(out, axis=1).view(np.int64)
 
 
@@ -109,34 +117,34 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sims, k, axis=1)[:, :k]
 
 
-def _search(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], dim: int, kind: type) -> Iterator[pa.RecordBatch]:
     """Rows of whole ranges, sorted by range, a range's candidates before its queries.
 
     Holds one range's candidates (about ``ROWS_PER_RANGE``) and a block of queries.
     """
-    current, ids, codes = None, np.empty(0, np.int64), np.empty((0, dim), np.float32)
+    current, ids, units = None, np.empty(0, np.int64), np.empty((0, dim))
     for b in batches:
         where = b.column(0).to_numpy().astype(np.int64) * (1 << 32) + b.column(1).to_numpy()
         is_query, vec = b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy()
-        code = np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.int8).reshape(-1, dim).astype(np.float32)
+        unit = _unit(np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=kind).reshape(-1, dim))
         cuts = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (is_query[1:] != is_query[:-1]), True])
         for s, e in zip(cuts, cuts[1:]):
             if where[s] != current:
-                current, ids, codes = where[s], np.empty(0, np.int64), np.empty((0, dim), np.float32)
+                current, ids, units = where[s], np.empty(0, np.int64), np.empty((0, dim))
             if not is_query[s]:
-                ids, codes = np.r_[ids, vec[s:e]], np.concatenate([codes, code[s:e]])
+                ids, units = np.r_[ids, vec[s:e]], np.concatenate([units, unit[s:e]])
                 continue
             for at in range(s, e, 512):
                 q = slice(at, min(at + 512, e))
                 if not len(ids):
                     continue
-                sims = code[q] @ codes.T
+                sims = unit[q] @ units.T
                 sims[vec[q][:, None] == ids[None, :]] = -np.inf
                 top = _best(sims, KEEP_RANGE)
                 near = np.take_along_axis(sims, top, axis=1)
                 ok = np.isfinite(near)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(vec[q], ok.sum(axis=1))), pa.array(ids[top][ok]), pa.array(near[ok].astype(np.float64))],
+                    [pa.array(np.repeat(vec[q], ok.sum(axis=1))), pa.array(ids[top][ok]), pa.array(near[ok])],
                     names=["query_id", "vec_id", "near"])
 
 
@@ -160,25 +168,25 @@ def nearest(vectors: DataFrame, queries: str, k: int = 5, window: float = WINDOW
     nth = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     one = saved(one.select("vec_id", "vec", (nth <= k + 1).alias("found"), F.expr(queries).alias("asks")).where("found or asks"))
     frames = _frames(dim)
+    kind = np.float32 if dict(one.dtypes)["vec"] == "array<float>" else np.float64
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            unit, ids = _unit(b, 1, dim), b.column(0).to_numpy()
-            codes = np.rint(unit * 127).astype(np.int8)
-            k_ = _keys(unit, ids, frames)
+            x, ids = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(kind), b.column(0).to_numpy()
+            k_ = _keys(_unit(x), ids, frames)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array([c.tobytes() for c in codes], pa.binary()),
+                [b.column(0), b.column(2), b.column(3), pa.array([v.tobytes() for v in x], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, k_.size + 1, k_.shape[1], dtype=np.int32)), pa.array(k_.ravel()))],
-                names=["vec_id", "found", "asks", "code", "keys"])
+                names=["vec_id", "found", "asks", "raw", "keys"])
 
-    coded = saved(one.mapInArrow(keys, "vec_id bigint, found boolean, asks boolean, code binary, keys array<bigint>"))
+    coded = saved(one.mapInArrow(keys, "vec_id bigint, found boolean, asks boolean, raw binary, keys array<bigint>"))
     n = coded.where("found").count()
     ranges = min(4096, max(LEAST_RANGES, n // ROWS_PER_RANGE + 1))
     share = max(window if window < 1 else window / max(n, 1), min(1, LEAST_WINDOW / max(n, 1)))
     reach = max(1, int(np.ceil(share * ranges)))
-    spread = coded.select("vec_id", "found", "asks", "code", F.posexplode("keys").alias("ordering", "key"))
+    spread = coded.select("vec_id", "found", "asks", "raw", F.posexplode("keys").alias("ordering", "key"))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = {r["ordering"]: sorted(set(r["cuts"])) for r in spread.where("found").groupBy("ordering").agg(
         F.percentile_approx("key", shares, 20 * ranges).alias("cuts")).collect()}  # at most 16 x 4096 numbers
@@ -187,11 +195,11 @@ def nearest(vectors: DataFrame, queries: str, k: int = 5, window: float = WINDOW
         place = F.when(F.col("ordering") == t, bucket_of(F.col("key"), c)).otherwise(place)
     spread = spread.withColumn("place", place.cast("int"))
     near = F.explode(F.sequence(F.greatest(F.col("place") - reach, F.lit(0)), F.least(F.col("place") + reach, F.lit(ranges - 1))))
-    cols = ["ordering", "place", "is_query", "vec_id", "code"]
+    cols = ["ordering", "place", "is_query", "vec_id", "raw"]
     merged = spread.where("found").withColumn("is_query", F.lit(False)).select(cols).unionByName(
         spread.where("asks").withColumn("place", near).withColumn("is_query", F.lit(True)).select(cols))
     hits = (merged.repartition("ordering", "place").sortWithinPartitions("ordering", "place", "is_query")
-            .mapInArrow(lambda b: _search(b, dim), "query_id bigint, vec_id bigint, near double"))
+            .mapInArrow(lambda b: _search(b, dim, kind), "query_id bigint, vec_id bigint, near double"))
     best = hits.groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
     w = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     best = best.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= KEEP_ALL).select("query_id", "vec_id")

@@ -297,6 +297,26 @@ def test_nearest_recall_and_scores(spark):
     assert ann.nearest_report(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.001])
+def test_nearest_recall_in_a_tight_group(spark, spread):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:2000] = x[0] + spread * x[:2000]
+    x = x.astype(np.float32)
+    unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, "vec_id < 2000 and vec_id % 40 = 1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(1, 2000, 40):
+        sims = unit @ unit[q]
+        sims[q] = -2
+        hits += len(got[q] & set(np.argsort(-sims)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 50
+
+
 def test_hilbert_curve_is_a_curve():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     order = cells[np.argsort(ann.hilbert(cells, 3))]
