@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from streamwatch.llm import ann, bpe, fingerprints, html_extract, langid, line_dedup, packing, secret_scan, simhash_dedup, substrings
+from streamwatch.llm import (ann, bpe, fim, fingerprints, html_extract, langid, line_dedup, packing, secret_scan, sharding, simhash_dedup,
+                             substrings, whitening)
 from streamwatch.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +69,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_report(read(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rearranged for fill-in-middle training, as digests."""
+    return fim.fim_report(read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading whitened components of embeddings."""
+    return whitening.whitening_report(read(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 24 contiguous shards of about equal bytes."""
+    return sharding.sharding_report(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over documents."""
     import corpus_pipeline
@@ -76,6 +92,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_nearest, op3_simhash_dedup, op4_packing, op5_secrets, op6_bpe, op7_substrings, op8_fingerprints,
-    op9_main_text, op10_language, pipeline)}
+    op9_main_text, op10_language, op11_fim, op12_whitening, op13_sharding, pipeline)}
 
-SQL = {"op1_line_dedup": line_dedup.OP_SQL}
+SQL = {"op1_line_dedup": line_dedup.OP_SQL, "op11_fim": fim.OP_SQL, "op13_sharding": sharding.OP_SQL}
