@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from .combine import SUM, slide_combined
 from .time import duration_us, to_us
 
 # Above this many panes per window the fan-out uses the two-level form.
@@ -89,17 +90,24 @@ def sweep(panes: DataFrame, keys: list[str], k: int, pane: str = "pane", n: str
     # exists, and of panes with a value, without which the total is null (as in SQL)
     kind = panes.schema[n].dataType
     if isinstance(kind, (FloatType, DoubleType)):
-        raise ValueError("running sums of floating-point measures drift; use method='fanout'")
+        raise ValueError("running sums of floating-point measures drift; use slide_combined")
     val = F.coalesce(F.col(n), F.lit(0).cast(kind))
     has = F.col(n).isNotNull().cast("long")
     one = F.lit(1).cast("long")
     bounds = F.array(
         F.struct((F.col(pane) - F.lit(k - 1)).alias("pos"), val.alias("d"), one.alias("o"), has.alias("v")),
         F.struct((F.col(pane) + F.lit(1)).alias("pos"), (-val).cast(kind).alias("d"), (-one).alias("o"), (-has).alias("v")))
+    return sweep_bounds(panes.select(*keys, F.inline(bounds)), keys, pane, n, block)
+
+
+def sweep_bounds(bounds: DataFrame, keys: list[str], pane: str = "pane", n: str = "n", block: int | None = None) -> DataFrame:
+    """Totals per window start from boundary rows (keys, pos, d, o, v): from ``pos`` on the total
+    changes by ``d``, the number of contributions by ``o`` and that of values by ``v``.
+
+    Starts with at least one contribution appear; without a value their total is null.
+    """
     run = ("d", "o", "v")
-    d = (panes.select(*keys, F.explode(bounds).alias("_e"))
-              .select(*keys, "_e.pos", "_e.d", "_e.o", "_e.v")
-              .groupBy(*keys, "pos").agg(*[F.sum(c).alias(c) for c in run]))
+    d = bounds.groupBy(*keys, "pos").agg(*[F.sum(c).alias(c) for c in run])
     out = F.when(F.col("_v") > 0, F.col("_d")).alias(n)
     starts = F.explode(F.sequence(F.col("pos"), F.col("_end") - 1)).alias(pane)
     if block is None:
@@ -142,11 +150,14 @@ def slide_panes(panes: DataFrame, keys: list[str], k: int, pane: str = "pane",
     The result has the same columns; ``pane`` now names the window's first
     pane. Only windows with at least one contributing pane appear; a total may be
     zero, negative, or null (no value in the window). Floating-point measures are
-    fanned out whatever the method: running sums would carry rounding errors along.
+    combined (``functions.combine``) instead of swept: running sums would carry rounding
+    errors along. Its groups are bounded by ``k`` panes, so ``block`` says nothing there.
     """
     if k == 1:
         return panes
-    if method == "sweep" and not isinstance(panes.schema[n].dataType, (FloatType, DoubleType)):
+    if method == "sweep":
+        if isinstance(panes.schema[n].dataType, (FloatType, DoubleType)):
+            return slide_combined(panes, keys, k, {n: SUM}, pane).select(panes.columns)
         return sweep(panes, keys, k, pane, n, block)
     b = split_factor(k)
     if b == 1 or b == k:

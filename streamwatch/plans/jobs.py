@@ -37,8 +37,8 @@ from ..operators.rising import rising_alarm
 from ..operators.split import threshold_split
 from ..operators.sql import register
 from ..operators.topn import window_topn
-from ..operators.windows import pv_uv as pv_uv_op, uv_approx as uv_approx_op, window_count, \
-    windows_from_panes
+from ..operators.windows import pv_uv as pv_uv_op, sliding_uv as sliding_uv_op, uv_approx as uv_approx_op, uv_bloom as uv_bloom_op, \
+    window_aggregate, window_count, window_quantiles as window_quantiles_op, windows_from_panes
 from ..sources.tables import events, prop_k, user_channel, user_province
 
 P = {
@@ -46,6 +46,9 @@ P = {
     "hot_pages": {"size": "1 minute", "slide": "5 seconds", "top": 5},
     "pv_uv": {"size": "1 hour"},
     "value_balance": {"size": "1 hour", "slide": "5 minutes"},
+    "window_extremes": {"size": "1 hour", "slide": "5 seconds"},
+    "window_quantiles": {"size": "1 hour", "slide": "5 minutes"},
+    "sliding_uv": {"size": "1 hour", "slide": "5 minutes"},
     "channel_promo": {"size": "1 hour", "slide": None, "exclude": "error"},
     "ad_by_region": {"size": "1 hour", "slide": "5 seconds"},
     "ad_blacklist": {"limit": 2, "size": "1 hour", "slide": "5 minutes"},
@@ -93,6 +96,29 @@ def value_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_count(ev, "ts", ["event_type"], p["size"], p["slide"], weight="w", out="balance", block=SWEEP_BLOCK)
 
 
+# aggregates that cannot be subtracted --------------------------------------
+def window_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, smallest, largest and mean ``value`` of each event type, 1 h windows every 5 s."""
+    p = P["window_extremes"]
+    ev = events(spark, sf_dir).select("ts", "event_type", "value")
+    out = window_aggregate(ev, "ts", ["event_type"], p["size"], p["slide"], n=("count", "value"), low=("min", "value"),
+                           high=("max", "value"), mean=("avg", "value"))
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+def window_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and 90 % quantile of ``value`` of each event type."""
+    p = P["window_quantiles"]
+    ev = events(spark, sf_dir).select("ts", "event_type", "value")
+    return window_quantiles_op(ev, "ts", ["event_type"], p["size"], p["slide"], "value", {"p50": 0.5, "p90": 0.9})
+
+
+def sliding_uv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct users of all events, 1 h windows every 5 min."""
+    p = P["sliding_uv"]
+    return sliding_uv_op(events(spark, sf_dir).select("ts", "user_id"), "ts", "user_id", p["size"], p["slide"], block=SWEEP_BLOCK)
+
+
 # 3.3 PV / UV ---------------------------------------------------------------
 def _views(spark, sf_dir):
     return events(spark, sf_dir).where(F.col("event_type") == "view").select("ts", "user_id")
@@ -106,6 +132,10 @@ def uv_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uv_approx_op(_views(spark, sf_dir), "ts", "user_id", P["pv_uv"]["size"])
 
 
+def uv_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uv_bloom_op(_views(spark, sf_dir), "ts", "user_id", P["pv_uv"]["size"])
+
+
 def pv_uv_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same job through a view and Spark SQL (P5)."""
     register(events(spark, sf_dir), "sw_events")
@@ -241,9 +271,13 @@ JOBS = {
     "hot_items": hot_items,
     "hot_pages": hot_pages,
     "value_balance": value_balance,
+    "window_extremes": window_extremes,
+    "window_quantiles": window_quantiles,
+    "sliding_uv": sliding_uv,
     "pv_uv": pv_uv,
     "pv_uv_sql": pv_uv_sql,
     "uv_approx": uv_approx,
+    "uv_bloom": uv_bloom,
     "channel_promo": channel_promo,
     "ad_by_region": ad_by_region,
     "ad_blacklist_alerts": ad_blacklist_alerts,

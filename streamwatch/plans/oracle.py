@@ -41,6 +41,43 @@ SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS wi
        CAST(sum(v) AS BIGINT) AS balance FROM w GROUP BY ws, event_type"""
 
 
+# The SQL of the following jobs has every parameter as a literal of its own.
+WINDOW_EXTREMES = """
+WITH w AS (SELECT event_type, value, (epoch_us(ts) // 5000000 - k) * 5000000 AS ws FROM events CROSS JOIN range(0, 720) AS r(k))
+SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS window_end, event_type, count(value) AS n,
+       min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM w GROUP BY ws, event_type"""
+
+WINDOW_QUANTILES = """
+WITH w AS (SELECT event_type, value, (epoch_us(ts) // 300000000 - k) * 300000000 AS ws
+           FROM events CROSS JOIN range(0, 12) AS r(k) WHERE value IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY ws, event_type ORDER BY value) AS nth, count(*) OVER (PARTITION BY ws, event_type) AS n FROM w)
+SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS window_end, event_type, n,
+       min(value) FILTER (nth * 2 >= n) AS p50, min(value) FILTER (nth * 10 >= n * 9) AS p90 FROM r GROUP BY ws, event_type, n"""
+
+SLIDING_UV = """
+WITH w AS (SELECT user_id, (epoch_us(ts) // 300000000 - k) * 300000000 AS ws FROM events CROSS JOIN range(0, 12) AS r(k))
+SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS window_end, count(DISTINCT user_id) AS uv FROM w GROUP BY ws"""
+
+
+def _round(x: str, multiplier: int) -> str:
+    return f"((xor({x}, {x} >> 15) + 1) * {multiplier}) % 2147483647"
+
+
+def _uv_bloom() -> str:
+    """2^20 bits, three hashes: one + i * two, each three rounds of integer arithmetic."""
+    rounds = []
+    for i, (a, b) in enumerate(zip((1103515245, 1597334677, 812115677), (747796405, 1181783497, 668265263))):
+        rounds.append(f"r{i + 1} AS (SELECT ws, n, {_round('a', a)} AS a, {_round('b', b)} AS b FROM r{i})")
+    return f"""
+WITH v AS (SELECT epoch_us(ts) // 3600000000 * 3600000000 AS ws, user_id AS u FROM events WHERE event_type = 'view'),
+r0 AS (SELECT ws, count(*) AS n, xor(u, u >> 31) % 2147483647 AS a, xor(u, u >> 31) % 2147483647 AS b FROM v GROUP BY ws, u),
+{', '.join(rounds)},
+pv AS (SELECT ws, sum(n)::BIGINT AS pv FROM r3 GROUP BY ws),
+bits AS (SELECT ws, count(DISTINCT (a + i * b) % 1048576) AS x FROM r3 CROSS JOIN range(0, 3) AS r(i) GROUP BY ws)
+SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS window_end, pv,
+       round(-(1048576 / 3.0) * ln(1 - least(x, 1048575) / 1048576.0))::BIGINT AS uv FROM pv JOIN bits USING (ws)"""
+
+
 def _k() -> str:
     return "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
@@ -142,6 +179,10 @@ def oracle_sql() -> dict[str, str]:
         "hot_pages": _topn(f"SELECT ts, {_k()} AS address FROM events", "address",
                            hp["size"], hp["slide"], hp["top"]),
         "value_balance": _value_balance(),
+        "window_extremes": WINDOW_EXTREMES,
+        "window_quantiles": WINDOW_QUANTILES,
+        "sliding_uv": SLIDING_UV,
+        "uv_bloom": _uv_bloom(),
         "pv_uv": _pv_uv(),
         "pv_uv_sql": _pv_uv(),
         "uv_approx": _pv_uv(),
