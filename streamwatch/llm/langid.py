@@ -24,8 +24,10 @@ SAMPLE_PER_LANG = 1000
 SWITCH = 6.0
 SMOOTH = 0.5
 SCRIPT_SHARE = 0.02
-MOST_KNOWN = 600_000
-MOST_CELLS = 24_000_000
+#: Bounds of a worker's memory: words remembered, cells (words x languages) of a round of Viterbi, texts taken from a batch at a time.
+MOST_KNOWN = 200_000
+MOST_CELLS = 4_000_000
+TEXTS_AT_ONCE = 500
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -76,6 +78,16 @@ class Model:
         self.no_script = np.zeros(len(self.langs), dtype=bool)
         self.table = np.log((np.vstack([table, np.zeros(len(self.langs))]) + SMOOTH) / totals)
 
+    def parts(self) -> dict:
+        """The model as plain values, which workers can read without this package."""
+        return {"langs": self.langs, "scripts": self.scripts, "rows": self.rows, "no_script": self.no_script, "table": self.table}
+
+    @classmethod
+    def of(cls, parts: dict) -> Model:
+        model = cls.__new__(cls)
+        model.__dict__.update(parts)
+        return model
+
     def score(self, words: list[str]) -> np.ndarray:
         """Log-likelihoods of each word against its best language; languages of other scripts are far behind.
 
@@ -136,7 +148,7 @@ class Labeller:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(self.model.langs)))
+        self.scores = np.zeros((1024, len(self.model.langs)))
         self.weights: list[int] = []
         self.new: list[str] = []
 
@@ -158,6 +170,14 @@ class Labeller:
         ids = np.array(out, dtype=np.int64)
         return ids[ids >= 0]
 
+    def _score_new(self) -> None:
+        n = len(self.weights)
+        if n > len(self.scores):
+            more = np.zeros((max(n, 2 * len(self.scores)), len(self.model.langs)))
+            more[:n - len(self.new)] = self.scores[:n - len(self.new)]
+            self.scores = more
+        self.scores[n - len(self.new):n] = self.model.score(self.new)
+
     def label(self, texts: list[str | None]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, score, spans) of each text, in order. Spans: first word, word after the last, language."""
         n_langs = len(self.model.langs)
@@ -171,7 +191,7 @@ class Labeller:
                 cells += len(ids[-1]) * max(1, n_langs)
                 at += 1
             if self.new and n_langs:
-                self.scores = np.concatenate([self.scores, self.model.score(self.new)])
+                self._score_new()
             self.new = []
             yield from self._viterbi(ids)
 
@@ -235,12 +255,12 @@ def label_languages(docs: DataFrame, model: Model, text: str = "text", switch: f
     names = ("lang_pred", "lang_score", "lang_spans")
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     rows = docs.select(*keep, F.col(text).cast("string").alias("_lang_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: trigrams of the bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())  # bounded: trigrams of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(shared.value, switch)
+        labeller = Labeller(Model.of(shared.value), switch)
         span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for b in batches:
+        for b in (x.slice(at, TEXTS_AT_ONCE) for x in batches for at in range(0, max(1, x.num_rows), TEXTS_AT_ONCE)):
             found = list(labeller.label(b.column(b.num_columns - 1).to_pylist()))
             spans = [[{"first": a, "end": e, "lang": x} for a, e, x in f[2]] for f in found]
             yield pa.RecordBatch.from_arrays(

@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +27,10 @@ from streamwatch.llm.common import saved
 LIMIT = 4096
 END_ID = 1
 SALTS = 256
-MOST_WORDS_KNOWN = 1_000_000
+#: Words whose ids a worker remembers (up to twice as many for a while), and texts whose new words are encoded together.
+MOST_WORDS_KNOWN, TEXTS_AT_ONCE = 300_000, 200
+#: Marks that are words of their own after letters, and the first code point of letters not looked at (Greek and Cyrillic lie below).
+MARKS, MARKED_BELOW = ".,;:!?", "\u0530"
 
 
 class WordIds:
@@ -36,7 +42,7 @@ class WordIds:
 
     New words of letters go to the tokenizer together, as one text, if its
     vocabulary marks the ends of words: the ids are cut where a word ends, and
-    each word for itself if that gives another number of words.
+    each word is encoded for itself if that gives another number of words.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -48,47 +54,68 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
-        self.ends = {i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the words known before ``known`` was full; those met again move on
 
-    def _each(self, words: list[str]) -> Iterator[list[int]]:
-        return (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+    def _each(self, words: list[str]) -> Iterator[bytes]:
+        return (np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
 
-    def _together(self, words: list[str]) -> Iterator[list[int]]:
+    def _together(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words of letters."""
         for at in range(0, len(words), 1000):
             some = words[at:at + 1000]
-            cuts, now = [], []
-            for i in next(self._each([" ".join(some)])):
-                now.append(i)
-                if i in self.ends:
-                    cuts.append(now)
-                    now = []
-            yield from cuts if len(cuts) == len(some) and not now else self._each(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                room, cuts = ids.tobytes(), (4 * cuts).tolist()
+                yield from map(room.__getitem__, map(slice, [0, *cuts], cuts))
+            else:
+                yield from self._each(some)
+
+    @staticmethod
+    def _splits(word: str) -> bool:
+        """Whether a mark at the end is a word of its own: all before it are letters, also once normalized.
+
+        A letter that normalization takes apart may end in a combining mark, which joins the mark.
+        Only scripts whose letters are letters in every version of Unicode are looked at.
+        """
+        plain = word[:-1]
+        if not plain.isalpha():
+            return False
+        plain = plain if plain.isascii() else unicodedata.normalize("NFC", plain).lower()
+        return plain.isalpha() and max(plain) < MARKED_BELOW
 
     def _learn(self, new: set[str]) -> None:
         known = self.known
         letters = [w for w in new if w.isalpha()]
         # A sentence's last word: its letters, then the mark.
-        marked = [w for w in new if w and w[-1] in ".,;:!?" and w[:-1].isalpha()]
+        marked = [w for w in new if w and w[-1] in MARKS and self._splits(w)]
         letters += set(w[:-1] for w in marked).difference(known, letters)
-        rest = list((new | set(".,;:!?")).difference(known, letters, marked))
-        for some, found in ((letters, self._together(letters)), (rest, self._each(rest))):
-            for w, ids in zip(some, found):
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
+        rest = list((new | set(MARKS)).difference(known, letters, marked))
+        known.update(zip(letters, self._together(letters)))
+        known.update(zip(rest, self._each(rest)))
         for w in marked:
             known[w] = known[w[:-1]] + known[w[-1]]
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text. New words of a few texts at a time are encoded together."""
-        known = self.known
-        for at in range(0, len(texts), 200):
-            split = [t.replace("\n", " ").split(" ") for t in texts[at:at + 200]]
-            if len(known) > MOST_WORDS_KNOWN:
-                known.clear()
-            self._learn(set().union(*split).difference(known))
+        texts = iter(texts)
+        while some := list(islice(texts, TEXTS_AT_ONCE)):
+            split = [t.replace("\n", " ").split(" ") for t in some]
+            if len(self.known) > MOST_WORDS_KNOWN:
+                self.known, self.before = {}, self.known
+            known, before = self.known, self.before
+            new = set().union(*split).difference(known)
+            if before:
+                known.update((w, before[w]) for w in new if w in before)
+                new.difference_update(before)
+            if new:
+                self._learn(new)
             for words in split:
-                yield b"".join([known[w] for w in words])
+                yield b"".join(map(known.__getitem__, words))
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
@@ -97,13 +124,16 @@ def pieces(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, end_id: int
     Null text counts as empty: one piece that holds ``end_id`` alone.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary file, a few MB
+    shared = docs.sparkSession.sparkContext.broadcast({"json": tokenizer_json})  # one vocabulary file, a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(shared.value)
+        holder = shared.value  # lives as long as the worker knows the broadcast: later tasks find the encoder and its words
+        if "encode" not in holder:
+            holder["encode"] = WordIds(holder["json"])
+        encode = holder["encode"]
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encode([t or "" for t in b.column(1).to_pylist()])):
+            for i, ids in enumerate(encode(t.as_py() or "" for t in b.column(1))):
                 ids += struct.pack("<I", end_id)
                 for p, at in enumerate(range(0, len(ids) // 4, limit)):
                     cut = ids[4 * at:4 * (at + limit)]
