@@ -24,11 +24,13 @@ PRIME = 2_147_483_647
 ROUNDS = ((1_103_515_245, 1_597_334_677, 812_115_677), (747_796_405, 1_181_783_497, 668_265_263))
 
 
-def mix(x: Column, multipliers: tuple[int, ...]) -> Column:
-    """A number below ``PRIME`` from a whole number; products stay below 2^62."""
-    y = F.pmod(x, F.lit(PRIME).cast("long"))
-    for m in multipliers:
-        y = F.pmod((y.bitwiseXOR(F.shiftright(y, 15)) + 1) * F.lit(m).cast("long"), F.lit(PRIME).cast("long"))
+def mix(low: Column, high: Column, multipliers: tuple[int, ...]) -> Column:
+    """A number below ``PRIME`` from both parts of a long; products stay below 2^62."""
+    prime, y = F.lit(PRIME).cast("long"), low
+    for i, m in enumerate(multipliers):
+        y = F.pmod((y.bitwiseXOR(F.shiftright(y, 15)) + 1) * F.lit(m).cast("long"), prime)
+        if not i:
+            y = F.pmod(y + F.pmod(high, prime) * F.lit(multipliers[-1]).cast("long"), prime)
     return y
 
 
@@ -40,12 +42,12 @@ def whole_number(member: Column, kind: str) -> Column:
 def bitmap_positions(member: Column, bits: int = BITS, hashes: int = HASHES) -> Column:
     """The bits that a member (a long) sets, from 1 to ``bits``; null for a null member, which sets none.
 
-    Both halves of the number enter: ids that differ by a multiple of the prime differ too.
+    The low 31 bits and the rest enter apart, so every bit counts.
     """
     if bits % SLICE:
         raise ValueError(f"bits must be a multiple of {SLICE}")
-    x = member.bitwiseXOR(F.shiftright(member, 31))
-    one, two = mix(x, ROUNDS[0]), mix(x, ROUNDS[1])
+    low, high = member.bitwiseAND(F.lit(PRIME).cast("long")), F.shiftright(member, 31)
+    one, two = mix(low, high, ROUNDS[0]), mix(low, high, ROUNDS[1])
     places = F.array(*[F.pmod(one + i * two, F.lit(bits).cast("long")) + 1 for i in range(hashes)])
     return F.when(member.isNotNull(), places).otherwise(F.array(F.lit(None).cast("long")))
 

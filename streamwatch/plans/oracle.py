@@ -59,19 +59,18 @@ WITH w AS (SELECT user_id, (epoch_us(ts) // 300000000 - k) * 300000000 AS ws FRO
 SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS window_end, count(DISTINCT user_id) AS uv FROM w GROUP BY ws"""
 
 
-def _round(x: str, multiplier: int) -> str:
-    return f"((xor({x}, {x} >> 15) + 1) * {multiplier}) % 2147483647"
-
-
 def _uv_bloom() -> str:
-    """2^20 bits, three hashes: one + i * two, each three rounds of integer arithmetic."""
-    rounds = []
-    for i, (a, b) in enumerate(zip((1103515245, 1597334677, 812115677), (747796405, 1181783497, 668265263))):
-        rounds.append(f"r{i + 1} AS (SELECT ws, n, {_round('a', a)} AS a, {_round('b', b)} AS b FROM r{i})")
+    """2^20 bits, three hashes: one + i * two, each three rounds of integer arithmetic on the low 31 bits and the rest."""
+    def step(x: str, m: int) -> str:
+        return f"((xor({x}, {x} >> 15) + 1) * {m}) % 2147483647"
+
+    a, b = (1103515245, 1597334677, 812115677), (747796405, 1181783497, 668265263)
     return f"""
-WITH v AS (SELECT epoch_us(ts) // 3600000000 * 3600000000 AS ws, user_id AS u FROM events WHERE event_type = 'view'),
-r0 AS (SELECT ws, count(*) AS n, xor(u, u >> 31) % 2147483647 AS a, xor(u, u >> 31) % 2147483647 AS b FROM v GROUP BY ws, u),
-{', '.join(rounds)},
+WITH v AS (SELECT epoch_us(ts) // 3600000000 * 3600000000 AS ws, user_id & 2147483647 AS low, (user_id >> 31) % 2147483647 AS high,
+                  count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1, 2, 3),
+r1 AS (SELECT ws, n, ({step('low', a[0])} + high * {a[2]}) % 2147483647 AS a, ({step('low', b[0])} + high * {b[2]}) % 2147483647 AS b FROM v),
+r2 AS (SELECT ws, n, {step('a', a[1])} AS a, {step('b', b[1])} AS b FROM r1),
+r3 AS (SELECT ws, n, {step('a', a[2])} AS a, {step('b', b[2])} AS b FROM r2),
 pv AS (SELECT ws, sum(n)::BIGINT AS pv FROM r3 GROUP BY ws),
 bits AS (SELECT ws, count(DISTINCT (a + i * b) % 1048576) AS x FROM r3 CROSS JOIN range(0, 3) AS r(i) GROUP BY ws)
 SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS window_end, pv,

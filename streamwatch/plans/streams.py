@@ -19,8 +19,8 @@ from ..sources.tables import prop_k, user_channel, user_province
 from ..streaming.joins import stream_interval_join
 from ..streaming.processors import (stream_blacklist, stream_consecutive, stream_followed_by,
                                     stream_reconcile, stream_rising)
-from ..streaming.windows import (stream_pv_uv as stream_pv_uv_op, stream_pv_uv_approx, stream_topn, stream_uv_exact,
-                                  stream_window_count)
+from ..streaming.windows import (stream_pv_uv as stream_pv_uv_op, stream_pv_uv_approx, stream_sliding_uv, stream_topn, stream_uv_bloom,
+                                  stream_uv_exact, stream_window_aggregate, stream_window_count)
 from .jobs import ORDER_KINDS, P, UNKNOWN
 
 DEFAULT_DELAY = "10 minutes"
@@ -71,6 +71,22 @@ def pv_uv_approx(ev, spark, sf_dir, delay=DEFAULT_DELAY):
                                P["pv_uv"]["size"], delay=None)
 
 
+def uv_bloom(ev, spark, sf_dir, delay=DEFAULT_DELAY):
+    return stream_uv_bloom(_marked(ev, delay, F.col("event_type") == "view"), "ts", "user_id", P["pv_uv"]["size"], delay=None)
+
+
+def window_extremes(ev, spark, sf_dir, delay=DEFAULT_DELAY):
+    p = P["window_extremes"]
+    out = stream_window_aggregate(ev.select("ts", "event_type", "value"), "ts", ["event_type"], p["size"], p["slide"], delay,
+                                  n=("count", "value"), low=("min", "value"), high=("max", "value"), mean=("avg", "value"))
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+def sliding_uv(ev, spark, sf_dir, delay=DEFAULT_DELAY):
+    p = P["sliding_uv"]
+    return stream_sliding_uv(ev.select("ts", "user_id"), "ts", "user_id", p["size"], p["slide"], delay)
+
+
 def channel_promo(ev, spark, sf_dir, delay=DEFAULT_DELAY):
     """Stream-static join to the customer dimension, then windowed counts."""
     p = P["channel_promo"]
@@ -162,6 +178,7 @@ def temp_split(ev, spark, sf_dir, delay=DEFAULT_DELAY):
 
 STREAM_JOBS = {
     "hot_items": hot_items, "hot_pages": hot_pages, "uv": uv, "pv_uv": pv_uv, "pv_uv_approx": pv_uv_approx,
+    "uv_bloom": uv_bloom, "window_extremes": window_extremes, "sliding_uv": sliding_uv,
     "channel_promo": channel_promo, "ad_by_region": ad_by_region, "ad_blacklist": ad_blacklist,
     "ad_blacklist_counts": ad_blacklist_counts,
     "login_fail": login_fail, "order_timeout": order_timeout, "reconcile": reconcile,

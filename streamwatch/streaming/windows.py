@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.bloom import BITS, HASHES, bloom_estimate
 from ..functions.time import duration_us, interval_literal, to_us, with_delay
+from ..operators.windows import bloom_slices
 
 # Above this many windows per event the explode-the-starts form is used.
 STREAM_NATIVE_MAX_OVERLAP = 60
@@ -106,6 +108,156 @@ class SlidingPanesProcessor(StatefulProcessor):
         pass
 
 
+class SlidingCombineProcessor(StatefulProcessor):
+    """Pane values of one key -> values of every ``k``-pane window, for measures without an inverse.
+
+    State: the panes that an unemitted window can still reach (at most ``k`` and
+    those within the watermark delay), the first start not yet emitted, and the
+    pending timer. A drain reads the panes once and slides over them with two
+    stacks: values in front are kept combined from each pane on, those at the back
+    as one running value, and the back is turned over when the front is used up. So
+    an output row costs a constant number of combinations, and nothing is subtracted.
+    """
+
+    def __init__(self, key_names, k: int, slide_us: int, kinds: list[str]):
+        self.key_names, self.k, self.slide, self.kinds = list(key_names), k, slide_us, list(kinds)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        fields = ", ".join(f"m{i} {kind.split(':')[1]}" for i, kind in enumerate(self.kinds))
+        self.panes = handle.getMapState("panes", "p long", fields)
+        self.next_w = handle.getValueState("next_w", "w long")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _two(self, a, b):
+        if a is None or b is None:
+            return a if b is None else b
+        out = []
+        for kind, x, y in zip(self.kinds, a, b):
+            if x is None or y is None:
+                out.append(x if y is None else y)
+            else:
+                out.append(min(x, y) if kind.startswith("min") else max(x, y) if kind.startswith("max") else x + y)
+        return tuple(out)
+
+    def _turned(self, back):
+        """The back as a front: the earliest pane on top, each with the combination from it on."""
+        front, value = [], None
+        for p, v in reversed(back):
+            value = self._two(v, value)
+            front.append((p, value))
+        return front
+
+    def _arm(self, first_pane, next_w) -> None:
+        ms = ((max(next_w, first_pane - self.k + 1) + self.k) * self.slide) // 1000
+        if not self.timer.exists() or ms < self.timer.get()[0]:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = {}
+        for r in rows:
+            new[r["_pane"]] = self._two(new.get(r["_pane"]), tuple(r[f"_m{i}"] for i in range(len(self.kinds))))
+        if not new:
+            return iter(())
+        if self.next_w.exists():
+            next_w = self.next_w.get()[0]
+        else:
+            next_w = min(new) - self.k + 1
+            self.next_w.update((next_w,))
+        # the pane aggregation emits a pane once, when it closes, so none comes behind its windows
+        for p, v in new.items():
+            old = tuple(self.panes.getValue((p,))) if self.panes.containsKey((p,)) else None
+            self.panes.updateValue((p,), self._two(old, v))
+        self._arm(min(new), next_w)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.next_w.exists():
+            return iter(())
+        last_w = timerValues.getCurrentWatermarkInMs() * 1000 // self.slide - self.k
+        next_w = self.next_w.get()[0]
+        if last_w < next_w:
+            return iter(())
+        panes = sorted((kk[0], tuple(vv)) for kk, vv in self.panes.iterator())
+        out, front, back, running = [], [], [], None
+        names, at, w = self.key_names, 0, next_w
+        while w <= last_w:
+            if not front and not back:  # nothing covered: on to the next pane's first window
+                while at < len(panes) and panes[at][0] < w:
+                    at += 1
+                if at == len(panes):
+                    break
+                w = max(w, panes[at][0] - self.k + 1)
+                if w > last_w:
+                    break
+            while at < len(panes) and panes[at][0] < w + self.k:
+                back.append(panes[at])
+                running = self._two(running, panes[at][1])
+                at += 1
+            if not front:
+                front, back, running = self._turned(back), [], None
+            value = self._two(front[-1][1], running)
+            out.append(Row(**dict(zip(names, key)), _ws=w * self.slide, **{f"_m{i}": x for i, x in enumerate(value)}))
+            w += 1
+            while front and front[-1][0] < w:
+                front.pop()
+            if not front:  # what lies behind w in the back goes too
+                front, back, running = self._turned([x for x in back if x[0] >= w]), [], None
+        next_w = last_w + 1
+        for p, _ in panes:
+            if p < next_w:
+                self.panes.removeKey((p,))
+        self.next_w.update((next_w,))
+        self.timer.clear()
+        left = next((p for p, _ in panes if p >= next_w), None)
+        if left is not None:
+            self._arm(left, next_w)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_window_aggregate(df: DataFrame, ts: str, keys: list[str], size, slide=None, delay="0 seconds",
+                            **aggs: tuple[str, str]) -> DataFrame:
+    """Append-mode count, sum, min, max and avg per window and key, as ``operators.windows.window_aggregate``.
+
+    Spark aggregates each event once into its pane; a per-key ``transformWithState``
+    combines closed panes into closed windows. ``window_start`` and ``window_end`` are plain columns.
+    """
+    size_us = duration_us(size)
+    slide_us = size_us if slide is None else duration_us(slide)
+    k, rem = divmod(size_us, slide_us)
+    if rem:
+        raise ValueError("size must be a multiple of slide")
+    needs: dict[tuple[str, str], None] = {}
+    for kind, col in aggs.values():
+        needs.update(dict.fromkeys(((p, col) for p in (("sum", "count") if kind == "avg" else (kind,)))))
+    of = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    gkeys = keys or ["_all"]
+    src = df if keys else df.withColumn("_all", F.lit(0))
+    pane = F.window(ts, interval_literal(timedelta(microseconds=slide_us))).alias("_pw")
+    panes = (with_delay(src, ts, delay).groupBy(pane, *gkeys)
+             .agg(*[of[part](col).alias(f"_m{i}") for i, (part, col) in enumerate(needs)])
+             .select(*gkeys, (F.unix_micros(F.col("_pw.start")) / F.lit(slide_us)).cast("long").alias("_pane"),
+                     *[f"_m{i}" for i in range(len(needs))], F.col("_pw.end").alias("_pane_end")))
+    types = [panes.schema[f"_m{i}"].dataType for i in range(len(needs))]
+    kinds = [f"{part}:{t.simpleString()}" for (part, _), t in zip(needs, types)]
+    schema = T.StructType([src.schema[c] for c in gkeys] + [T.StructField("_ws", T.LongType())]
+                          + [T.StructField(f"_m{i}", t) for i, t in enumerate(types)])
+    wins = panes.groupBy(*gkeys).transformWithState(SlidingCombineProcessor(gkeys, k, slide_us, kinds), schema, "Append", "EventTime")
+    place = {need: F.col(f"_m{i}") for i, need in enumerate(needs)}
+
+    def value(kind, col):
+        if kind != "avg":
+            return place[kind, col]
+        return F.when(place["count", col] > 0, place["sum", col] / place["count", col])
+
+    return wins.select(F.timestamp_micros("_ws").alias("window_start"), F.timestamp_micros(F.col("_ws") + F.lit(size_us)).alias("window_end"),
+                       *keys, *[value(*spec).alias(name) for name, spec in aggs.items()])
+
+
 def _stream_panes(df, ts, keys, size_us, slide_us, k, delay, out):
     gkeys = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
@@ -272,6 +424,25 @@ def stream_pv_uv(df: DataFrame, ts: str, user: str, size="1 hour", delay="0 seco
             .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "pv", "uv"))
 
 
+def stream_sliding_uv(df: DataFrame, ts: str, user: str, size, slide, delay="0 seconds") -> DataFrame:
+    """Exact distinct users per sliding window: rows per (window, user), then per window.
+    State: one row per user of an open window, so ``size / slide`` rows for an active user."""
+    w = F.window(ts, interval_literal(size), interval_literal(slide)).alias("window")
+    per_user = with_delay(df, ts, delay).groupBy(w, user).agg(F.count(F.lit(1)).alias("n")).where(F.col(user).isNotNull())
+    return (per_user.groupBy("window").agg(F.count(F.lit(1)).alias("uv"))
+            .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "uv"))
+
+
+def stream_uv_bloom(df: DataFrame, ts: str, user: str, size="1 hour", delay="0 seconds", bits: int = BITS,
+                    hashes: int = HASHES) -> DataFrame:
+    """PV and UV by a Bloom filter: state is at most ``bits / 32768`` slices of 4 KB for each open window."""
+    w = with_delay(df, ts, delay).withColumn("window", F.window(ts, interval_literal(size)))
+    return (bloom_slices(w, "window", user, bits, hashes)
+            .groupBy("window").agg(F.sum("_rows").alias("pv"), F.sum("_set").alias("_set"))
+            .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "pv",
+                    bloom_estimate(F.col("_set"), bits, hashes).alias("uv")))
+
+
 def stream_pv_uv_approx(df: DataFrame, ts: str, user: str, size="1 hour", delay="0 seconds",
                         lg_k: int = 12) -> DataFrame:
     """PV and HLL-sketch UV in one aggregation; state per window is 2^lg_k registers."""
