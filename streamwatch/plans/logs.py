@@ -3,7 +3,7 @@
 
 Each job takes ``log``, a function from a log's kind to its DataFrame with the event
 time ``event_time``. If that is a stream (with its watermark set), the job's stream
-form runs; otherwise the batch form. Both return the same columns. ``BATCH_ONLY`` has no stream form.
+form runs; otherwise the batch form. Both return the same columns.
 
 Parameters the reference states: one-hour windows, five-second updates (3.5), two
 failures within two seconds (3.7), 15 minutes (3.8), ten seconds of rising (2.1).
@@ -83,7 +83,7 @@ def ad_by_region(log: Log) -> DataFrame:
 def _blacklist(log: Log, kind: str) -> DataFrame:
     ad, keys, limit = log("ad_click"), ["user_id", "ad_id"], P["ad_blacklist"]["limit"]
     if ad.isStreaming:
-        return stream_blacklist(ad, keys, T, limit, delay=None).where(F.col("kind") == kind)
+        return stream_blacklist(ad, keys, T, limit, delay=None, keep=["province"]).where(F.col("kind") == kind)
     kept, alerts = click_blacklist(ad, keys, T, limit, scope="day")
     return kept if kind == "kept" else alerts
 
@@ -95,10 +95,8 @@ def ad_blacklist_alerts(log: Log) -> DataFrame:
 
 
 def ad_blacklist_counts(log: Log) -> DataFrame:
-    """Clicks kept by the blacklist, per province and window. Batch only: the stream's kept rows have no province."""
+    """Clicks kept by the blacklist, per province and window."""
     p = P["ad_blacklist"]
-    if log("ad_click").isStreaming:
-        raise ValueError("ad_blacklist_counts on logs has only a batch form")
     return _count(_blacklist(log, "kept"), ["province"], p["size"], p["slide"])
 
 
@@ -181,4 +179,3 @@ def channel_promo(log: Log) -> DataFrame:
 LOG_JOBS = {f.__name__: f for f in (
     ad_by_region, ad_blacklist_alerts, ad_blacklist_counts, login_fail, order_timeout, reconcile, reconcile_ok,
     temp_rising, temp_split, hot_items, hot_pages, pv_uv, channel_promo)}
-BATCH_ONLY = {"ad_blacklist_counts"}
