@@ -25,7 +25,7 @@ SWITCH = 6.0
 SMOOTH = 0.5
 SCRIPT_SHARE = 0.02
 #: Bounds of a worker's memory: words remembered, cells (words x languages) of a round of Viterbi, texts taken from a batch at a time.
-MOST_KNOWN = 200_000
+MOST_KNOWN = 500_000
 MOST_CELLS = 4_000_000
 TEXTS_AT_ONCE = 500
 UNKNOWN = "und"

@@ -10,15 +10,16 @@ take them by joining on (length, rank within the length).
 from __future__ import annotations
 
 import json
+import string
 import struct
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +28,10 @@ from streamwatch.llm.common import saved
 LIMIT = 4096
 END_ID = 1
 SALTS = 256
-#: Words whose ids a worker remembers (up to twice as many for a while), and texts whose new words are encoded together.
-MOST_WORDS_KNOWN, TEXTS_AT_ONCE = 300_000, 200
+#: Words whose ids a worker remembers (up to twice as many for a while), and bytes of texts taken together (a longer text alone).
+MOST_WORDS_KNOWN, BYTES_AT_ONCE = 400_000, 8_000_000
 #: Marks that are words of their own after letters, and the first code point of letters not looked at (Greek and Cyrillic lie below).
-MARKS, MARKED_BELOW = ".,;:!?", "\u0530"
+MARKS, MARKED_BELOW = string.punctuation, "\u0530"
 
 
 class WordIds:
@@ -76,46 +77,65 @@ class WordIds:
                 yield from self._each(some)
 
     @staticmethod
-    def _splits(word: str) -> bool:
-        """Whether a mark at the end is a word of its own: all before it are letters, also once normalized.
+    def _stem(word: str) -> str | None:
+        """The letters at the front, if only ASCII marks follow them and these are a word of their own.
 
-        A letter that normalization takes apart may end in a combining mark, which joins the mark.
+        A letter that normalization takes apart may end in a combining mark, which joins the marks.
         Only scripts whose letters are letters in every version of Unicode are looked at.
         """
-        plain = word[:-1]
-        if not plain.isalpha():
-            return False
-        plain = plain if plain.isascii() else unicodedata.normalize("NFC", plain).lower()
-        return plain.isalpha() and max(plain) < MARKED_BELOW
+        stem = word.rstrip(MARKS)
+        if stem.isascii():
+            return stem if stem.isalpha() else None
+        plain = unicodedata.normalize("NFC", stem).lower()
+        return stem if stem.isalpha() and plain.isalpha() and max(plain) < MARKED_BELOW else None
 
     def _learn(self, new: set[str]) -> None:
-        known = self.known
-        letters = [w for w in new if w.isalpha()]
-        # A sentence's last word: its letters, then the mark.
-        marked = [w for w in new if w and w[-1] in MARKS and self._splits(w)]
-        letters += set(w[:-1] for w in marked).difference(known, letters)
-        rest = list((new | set(MARKS)).difference(known, letters, marked))
+        known, letters, marked, rest = self.known, [], [], []
+        for w in new:
+            if w.isalpha():
+                letters.append(w)
+            elif (stem := self._stem(w)) is not None:
+                marked.append((w, stem, w[len(stem):]))
+            else:
+                rest.append(w)
+        letters += {stem for _, stem, _ in marked if stem not in new and stem not in known}
+        rest += {marks for _, _, marks in marked if marks not in new and marks not in known}
         known.update(zip(letters, self._together(letters)))
         known.update(zip(rest, self._each(rest)))
-        for w in marked:
-            known[w] = known[w[:-1]] + known[w[-1]]
-
-    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Ids of each text. New words of a few texts at a time are encoded together."""
-        texts = iter(texts)
-        while some := list(islice(texts, TEXTS_AT_ONCE)):
-            split = [t.replace("\n", " ").split(" ") for t in some]
-            if len(self.known) > MOST_WORDS_KNOWN:
-                self.known, self.before = {}, self.known
-            known, before = self.known, self.before
-            new = set().union(*split).difference(known)
-            if before:
-                known.update((w, before[w]) for w in new if w in before)
-                new.difference_update(before)
+        known.update([(w, known[stem] + known[marks]) for w, stem, marks in marked])
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; new ones are encoded together."""
+        if len(self.known) > MOST_WORDS_KNOWN:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        found = list(map(known.get, words))
+        lost = [i for i, x in enumerate(found) if x is None]
+        if lost:
+            new = {words[i] for i in lost}
+            known.update([(w, before[w]) for w in new if w in before])
+            new = {w for w in new if w not in before}
             if new:
                 self._learn(new)
-            for words in split:
-                yield b"".join(map(known.__getitem__, words))
+            for i in lost:
+                found[i] = known[words[i]]
+        return found
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text (null: none). Words are split, made distinct and put back in place by column."""
+        at, n = 0, len(texts)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        while at < n:
+            done = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, done + BYTES_AT_ONCE, side="right")))
+            split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.slice(at, upto - at), ""), "\n", " "), " ")
+            words = split.flatten().dictionary_encode()
+            place = words.indices.to_numpy(zero_copy_only=False)
+            found = self._ids(words.dictionary.to_pylist())
+            cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield b"".join(map(found.__getitem__, place[a:b].tolist()))
+            at = upto
 
 
 def pieces(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
@@ -133,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, end_id: int
         encode = holder["encode"]
         for b in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encode(t.as_py() or "" for t in b.column(1))):
+            for i, ids in enumerate(encode(b.column(1))):
                 ids += struct.pack("<I", end_id)
                 for p, at in enumerate(range(0, len(ids) // 4, limit)):
                     cut = ids[4 * at:4 * (at + limit)]

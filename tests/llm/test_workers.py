@@ -6,6 +6,8 @@ import struct
 import subprocess
 import sys
 
+import pyarrow as pa
+
 from streamwatch.llm import packing, queries
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -20,17 +22,18 @@ def test_word_ids_equal_the_library():
     texts += ["".join(rng.choice(ODD) for _ in range(rng.randrange(1, 24))) for _ in range(40_000)]
     texts += [f"{chr(c)}{m} a{chr(c)}{m} {chr(c)}b{m}" for c in range(0x21, 0x3100) if not 0xD800 <= c < 0xE000 for m in ".?"]
     want = words.tokenizer.encode_batch(texts, add_special_tokens=False)
-    for text, found, e in zip(texts, words(texts), want):
+    for text, found, e in zip(texts, words(pa.array(texts)), want):
         assert found == struct.pack(f"<{len(e.ids)}I", *e.ids), repr(text)
 
 
 def test_words_are_forgotten_without_changing_ids(monkeypatch):
     rng = random.Random(12)
     texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7))) for _ in range(30)) for _ in range(3000)]
-    plain = list(packing.WordIds(queries.tokenizer_json())(texts))
+    plain = list(packing.WordIds(queries.tokenizer_json())(pa.array(texts)))
     monkeypatch.setattr(packing, "MOST_WORDS_KNOWN", 300)
+    monkeypatch.setattr(packing, "BYTES_AT_ONCE", 2000)
     few = packing.WordIds(queries.tokenizer_json())
-    assert list(few(texts)) == plain and len(few.before) < 10_000
+    assert list(few(pa.array(texts))) == plain and len(few.before) < 10_000
 
 
 def test_workers_without_the_package(tmp_path):
