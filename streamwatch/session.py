@@ -38,13 +38,27 @@ def _python_path_for_workers() -> None:
 
 
 def ship_package(spark: SparkSession) -> str:
-    """Zip the package into the shared checkpoint folder and add it to every executor's path."""
-    import shutil
-    root = checkpoint_root(spark).rstrip("/")
-    base = os.path.join(root.replace("file:", ""), "pyfiles", "streamwatch")
-    path = shutil.make_archive(base, "zip", PACKAGE_ROOT, "streamwatch")
-    spark.sparkContext.addPyFile(path)
-    return path
+    """Write the package as a zip into the shared checkpoint folder, through Spark's file system
+    layer (so any store Spark can write to), and add it to every executor's path."""
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    package = os.path.join(PACKAGE_ROOT, "streamwatch")
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), PACKAGE_ROOT))
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark).rstrip('/')}/pyfiles/streamwatch.zip")
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target.toString())
+    return target.toString()
 
 
 def get_session(master: str | None = None, app: str = "streamwatch",

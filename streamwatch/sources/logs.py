@@ -37,8 +37,28 @@ def read_log(spark: SparkSession, kind: str, path: str, streaming: bool = False,
     return df
 
 
-def parse_lines(df: DataFrame, schema: T.StructType, col: str = "value") -> DataFrame:
-    """Text lines -> typed columns (the map step in front of every reference job)."""
-    line = F.regexp_replace(F.col(col).cast("string"), r"\r$", "")
+#: Column of ``parse_lines`` and ``decode_values`` that holds a line which is no record.
+BAD_LINE = "bad_line"
+
+
+def parse_lines(df: DataFrame, schema: T.StructType, col: str = "value", keep_bad: bool = False) -> DataFrame:
+    """Text lines -> typed columns (the map step in front of every reference job).
+
+    ``keep_bad`` adds ``bad_line``: the line, where it is not a record of the schema
+    (a field that does not parse, too few or too many fields), else null.
+    """
+    return _parsed(df, F.regexp_replace(F.col(col).cast("string"), r"\r$", ""), schema, "csv", keep_bad)
+
+
+def _parsed(df: DataFrame, line, schema: T.StructType, fmt: str, keep_bad: bool) -> DataFrame:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return df.select(F.from_csv(line, ddl).alias("_r")).select("_r.*")
+    parse = {"csv": F.from_csv, "json": F.from_json}[fmt]
+    if not keep_bad:
+        return df.select(parse(line, ddl).alias("_r")).select("_r.*")
+    if BAD_LINE in schema.fieldNames():
+        raise ValueError(f"the schema has a column {BAD_LINE}")
+    return (df.select(parse(line, f"{ddl}, {BAD_LINE} string", {"columnNameOfCorruptRecord": BAD_LINE, "mode": "PERMISSIVE"}).alias("_r"),
+                      line.alias("_line")).select("_r.*", "_line")
+            # a null value is no record either, and comes without one
+            .withColumn(BAD_LINE, F.coalesce(BAD_LINE, F.when(F.col("_line").isNull() | (F.trim("_line") == ""), F.coalesce("_line", F.lit("")))))
+            .drop("_line"))
