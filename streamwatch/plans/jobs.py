@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 
 from ..functions.panes import SWEEP_BLOCK, pane_counts
 from ..functions.time import ts_type
+from ..operators.asof import asof_join
 from ..operators.blacklist import click_blacklist
 from ..operators.joins import interval_join, reconcile as reconcile_op
 from ..operators.patterns import consecutive, followed_by_within
 from ..operators.rising import rising_alarm
+from ..operators.sessions import sessions
 from ..operators.split import threshold_split
 from ..operators.sql import register
 from ..operators.topn import window_topn
@@ -50,6 +52,7 @@ P = {
     "window_quantiles": {"size": "1 hour", "slide": "5 minutes"},
     "sliding_uv": {"size": "1 hour", "slide": "5 minutes"},
     "channel_promo": {"size": "1 hour", "slide": None, "exclude": "error"},
+    "ad_rollup": {"size": "1 hour", "slide": "5 minutes"},
     "ad_by_region": {"size": "1 hour", "slide": "5 seconds"},
     "ad_blacklist": {"limit": 2, "size": "1 hour", "slide": "5 minutes"},
     "login_fail": {"times": 2, "within": "1 hour"},
@@ -58,6 +61,8 @@ P = {
     "reconcile": {"lower": "-6 hours", "upper": "6 hours"},
     "temp_rising": {"duration": "12 hours"},
     "temp_split": {"threshold": 100.0},
+    "user_sessions": {"gap": "6 hours"},
+    "last_view": {"tolerance": "2 days"},
 }
 
 
@@ -182,6 +187,26 @@ def ad_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_province_windows(spark, sf_dir, clicks, p["size"], p["slide"], like)
 
 
+def ad_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same clicks per province, per region and in all, 1 h every 5 min: ``grain`` says which.
+
+    Clicks are counted once per (pane, user), joined, and summed for all grains over
+    pane totals in one shuffle (grouping sets); windows follow from the totals.
+    """
+    p = P["ad_rollup"]
+    ev = events(spark, sf_dir)
+    like = ts_type(ev, "ts")
+    panes = pane_counts(ev.where(F.col("event_type") == "click").select("ts", "user_id"), "ts", ["user_id"], p["slide"])
+    rows = (panes.join(user_province(spark, sf_dir, region=True), "user_id", "left")
+            .select("pane", "n", F.coalesce("region", F.lit(UNKNOWN)).alias("region"), F.coalesce("province", F.lit(UNKNOWN)).alias("province")))
+    c = F.col
+    sums = (rows.groupingSets([[c("pane"), c("region"), c("province")], [c("pane"), c("region")], [c("pane")]], "pane", "region", "province")
+            .agg(F.sum("n").alias("n"), F.grouping_id().alias("_g")))
+    grain = F.when(c("_g") == 0, "province").when(c("_g") == 1, "region").otherwise("all").alias("grain")
+    by = ["grain", "region", "province"]
+    return windows_from_panes(sums.select("pane", grain, "region", "province", "n"), by, p["size"], p["slide"], like, block=SWEEP_BLOCK)
+
+
 # 3.6 blacklist -------------------------------------------------------------
 def _blacklist(spark, sf_dir):
     ev = events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type")
@@ -267,6 +292,21 @@ def temp_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_split(ev, "value", P["temp_split"]["threshold"])
 
 
+# sessions and as-of values -------------------------------------------------
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a user's events less than six hours apart."""
+    return sessions(events(spark, sf_dir).select("ts", "user_id"), "user_id", "ts", P["user_sessions"]["gap"])
+
+
+def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the user's latest view at or before it, if no older than two days."""
+    ev = events(spark, sf_dir)
+    bought = ev.where(F.col("event_type") == "purchase").select("user_id", F.col("ts").alias("buy_ts"), F.col("event_id").alias("buy_id"))
+    seen = ev.where(F.col("event_type") == "view").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"),
+                                                          F.col("value").alias("view_value"))
+    return asof_join(bought, seen, "user_id", "buy_ts", "view_ts", P["last_view"]["tolerance"], tiebreak="view_id")
+
+
 JOBS = {
     "hot_items": hot_items,
     "hot_pages": hot_pages,
@@ -280,6 +320,7 @@ JOBS = {
     "uv_bloom": uv_bloom,
     "channel_promo": channel_promo,
     "ad_by_region": ad_by_region,
+    "ad_rollup": ad_rollup,
     "ad_blacklist_alerts": ad_blacklist_alerts,
     "ad_blacklist_counts": ad_blacklist_counts,
     "login_fail": login_fail,
@@ -289,4 +330,6 @@ JOBS = {
     "reconcile_ok": reconcile_ok,
     "temp_rising": temp_rising,
     "temp_split": temp_split,
+    "user_sessions": user_sessions,
+    "last_view": last_view,
 }

@@ -77,6 +77,33 @@ SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS wi
        round(-(1048576 / 3.0) * ln(1 - least(x, 1048575) / 1048576.0))::BIGINT AS uv FROM pv JOIN bits USING (ws)"""
 
 
+AD_ROLLUP = """
+WITH w AS (SELECT coalesce(r.r_name, 'unknown') AS region, coalesce(na.n_name, 'unknown') AS province,
+                  (epoch_us(e.ts) // 300000000 - k) * 300000000 AS ws
+           FROM events e CROSS JOIN range(0, 12) AS t(k) LEFT JOIN customer c ON e.user_id = c.c_custkey
+           LEFT JOIN nation na ON c.c_nationkey = na.n_nationkey LEFT JOIN region r ON na.n_regionkey = r.r_regionkey
+           WHERE e.event_type = 'click')
+SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS window_end,
+       CASE grouping(region, province) WHEN 0 THEN 'province' WHEN 1 THEN 'region' ELSE 'all' END AS grain, region, province,
+       count(*) AS n FROM w GROUP BY GROUPING SETS ((ws, region, province), (ws, region), (ws))"""
+
+
+USER_SESSIONS = """
+WITH e AS (SELECT user_id, ts, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 21600000000, true) AS fresh
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nth
+      FROM (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS event_id FROM e) AS e)
+SELECT user_id, min(ts) AS session_start, make_timestamp(epoch_us(max(ts)) + 21600000000) AS session_end, count(*) AS n
+FROM s GROUP BY user_id, nth"""
+
+LAST_VIEW = """
+SELECT b.user_id, b.ts AS buy_ts, b.event_id AS buy_id, CASE WHEN near THEN v_ts END AS view_ts, CASE WHEN near THEN v_id END AS view_id,
+       CASE WHEN near THEN v_value END AS view_value
+FROM (SELECT b.*, v.ts AS v_ts, v.event_id AS v_id, v.value AS v_value, epoch_us(b.ts) - epoch_us(v.ts) <= 172800000000 AS near
+      FROM (SELECT * FROM events WHERE event_type = 'purchase') AS b
+      ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') AS v ON b.user_id = v.user_id AND b.ts >= v.ts) AS b"""
+
+
 def _k() -> str:
     return "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
@@ -181,6 +208,9 @@ def oracle_sql() -> dict[str, str]:
         "window_extremes": WINDOW_EXTREMES,
         "window_quantiles": WINDOW_QUANTILES,
         "sliding_uv": SLIDING_UV,
+        "ad_rollup": AD_ROLLUP,
+        "user_sessions": USER_SESSIONS,
+        "last_view": LAST_VIEW,
         "uv_bloom": _uv_bloom(),
         "pv_uv": _pv_uv(),
         "pv_uv_sql": _pv_uv(),

@@ -17,9 +17,9 @@ from ..functions.time import after_watermark, with_delay
 from ..operators.split import threshold_split
 from ..sources.tables import prop_k, user_channel, user_province
 from ..streaming.joins import stream_interval_join
-from ..streaming.processors import (stream_blacklist, stream_consecutive, stream_followed_by,
+from ..streaming.processors import (stream_asof, stream_blacklist, stream_consecutive, stream_followed_by,
                                     stream_reconcile, stream_rising)
-from ..streaming.windows import (stream_pv_uv as stream_pv_uv_op, stream_pv_uv_approx, stream_sliding_uv, stream_topn, stream_uv_bloom,
+from ..streaming.windows import (stream_pv_uv as stream_pv_uv_op, stream_pv_uv_approx, stream_sessions, stream_sliding_uv, stream_topn, stream_uv_bloom,
                                   stream_uv_exact, stream_window_aggregate, stream_window_count)
 from .jobs import ORDER_KINDS, P, UNKNOWN
 
@@ -171,6 +171,18 @@ def temp_rising_timer(ev, spark, sf_dir, delay=DEFAULT_DELAY):
                          delay=delay, alarm="timer")
 
 
+def user_sessions(ev, spark, sf_dir, delay=DEFAULT_DELAY):
+    return stream_sessions(ev.select("ts", "user_id"), "user_id", "ts", P["user_sessions"]["gap"], delay)
+
+
+def last_view(ev, spark, sf_dir, delay=DEFAULT_DELAY):
+    bought = _marked(ev, delay, F.col("event_type") == "purchase").select(
+        "user_id", F.col("ts").alias("buy_ts"), F.col("event_id").alias("buy_id"))
+    seen = _marked(ev, delay, F.col("event_type") == "view").select(
+        "user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return stream_asof(bought, seen, "user_id", "buy_ts", "view_ts", P["last_view"]["tolerance"], tiebreak="view_id", delay=None)
+
+
 def temp_split(ev, spark, sf_dir, delay=DEFAULT_DELAY):
     return threshold_split(ev.select("event_id", "ts", "user_id", "value"), "value",
                            P["temp_split"]["threshold"])
@@ -184,4 +196,5 @@ STREAM_JOBS = {
     "login_fail": login_fail, "order_timeout": order_timeout, "reconcile": reconcile,
     "reconcile_ok": reconcile_ok, "temp_rising": temp_rising,
     "temp_rising_timer": temp_rising_timer, "temp_split": temp_split,
+    "user_sessions": user_sessions, "last_view": last_view,
 }

@@ -36,14 +36,17 @@ def user_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("channel"))
 
 
-def user_province(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id -> province (nation name of the customer).
+def user_province(spark: SparkSession, sf_dir: str, region: bool = False) -> DataFrame:
+    """user_id -> province (nation name of the customer), with ``region`` also the name of its region.
 
-    Both tables are left to the planner: the size-checked broadcast threshold,
+    All tables are left to the planner: the size-checked broadcast threshold,
     and AQE at run time.
     """
     cust = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("nationkey"))
     nation = read_table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("province"))
-    return cust.join(nation, "nationkey").select("user_id", "province")
+        F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("province"), F.col("n_regionkey").alias("regionkey"))
+    if not region:
+        return cust.join(nation.drop("regionkey"), "nationkey").select("user_id", "province")
+    names = read_table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("regionkey"), F.col("r_name").alias("region"))
+    return cust.join(nation, "nationkey").join(names, "regionkey").select("user_id", "province", "region")

@@ -87,6 +87,9 @@ class _Buffered(StatefulProcessor):
     def wake(self, st: list, wm_us: int) -> int | None:
         return None
 
+    def order(self, rec: tuple):
+        return rec
+
     def _arm(self, us: int) -> None:
         ms = _ceil_ms(us)
         cur = self.drain_at.get() if self.drain_at.exists() else None
@@ -108,7 +111,7 @@ class _Buffered(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         wm_us = timerValues.getCurrentWatermarkInMs() * 1000
         items = [tuple(x) for x in self.buf.get()] if self.buf.exists() else []
-        ready = sorted(x for x in items if x[0] <= wm_us)
+        ready = sorted((x for x in items if x[0] <= wm_us), key=self.order)
         rest = [x for x in items if x[0] > wm_us]
         had = self.state.exists()
         st, out = (_values(self.state.get()) if had else self.start()), []
@@ -332,6 +335,82 @@ def stream_rising(df: DataFrame, key, ts: str, value: str, duration="10 seconds"
     return out.select(*keys, from_us("run_start_us").alias("run_start"), from_us("alarm_us").alias("alarm_ts"))
 
 
+# J3 ------------------------------------------------------------------------
+class AsofProcessor(_Buffered):
+    """Left rows get the key's latest right row at or before them; the state is that one row."""
+
+    def __init__(self, key_names, left: list[tuple[str, str]], right: list[tuple[str, str]], tolerance_us: int | None):
+        super().__init__(key_names)
+        self.left, self.right, self.tolerance = list(left), list(right), tolerance_us
+        values = ", ".join(f"{n} {kind}" for n, kind in [*left, *right])
+        self.rec_schema = f"us long, side int, tb long, {values}"
+        self.state_schema = ", ".join(["at bigint", *[f"{n} {kind}" for n, kind in right]])
+
+    def record(self, r):
+        return (r["_us"], r["_side"], r["_tb"], *[r[n] for n, _ in self.left], *[r[n] for n, _ in self.right])
+
+    def start(self):
+        return [None] * (1 + len(self.right))
+
+    def order(self, rec):
+        return rec[0], rec[1], rec[2] is not None, rec[2] or 0
+
+    def on_event(self, key, rec, st, out):
+        us, side, mine, theirs = rec[0], rec[1], rec[3:3 + len(self.left)], rec[3 + len(self.left):]
+        if side == 0:
+            if key[0] is not None:
+                st[:] = [us, *theirs]
+            return
+        near = st[0] is not None and (self.tolerance is None or us - st[0] <= self.tolerance)
+        out.append(Row(**_key_fields(key, self.key_names), _us=us, **{n: v for (n, _), v in zip(self.left, mine)},
+                       _rus=st[0] if near else None, **{n: v if near else None for (n, _), v in zip(self.right, st[1:])}))
+
+    def on_watermark(self, key, wm_us, st, out):
+        if st[0] is not None and self.tolerance is not None and st[0] + self.tolerance < wm_us:
+            st[:] = self.start()
+
+    def wake(self, st, wm_us):
+        return st[0] + self.tolerance + 1000 if st[0] is not None and self.tolerance is not None else None
+
+
+def stream_asof(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, tolerance=None, tiebreak: str | None = None,
+                delay="0 seconds") -> DataFrame:
+    """``operators.asof.asof_join`` on streams: a left row is given out once the watermark has passed it.
+
+    State per key: rows ahead of the watermark and one right row, which goes when it is
+    older than ``tolerance`` (without one it stays). Left rows with a null time are dropped as late.
+    """
+    names = {"l": [c for c in left.columns if c not in (key, left_ts)], "r": [c for c in right.columns if c not in (key, right_ts)]}
+    clash = ({left_ts, *names["l"]} & {right_ts, *names["r"]})
+    if clash:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    left, right = with_delay(left, left_ts, delay), with_delay(right, right_ts, delay)
+    frames, schemas = {"l": left, "r": right}, {}
+    # times travel as microseconds: their value does not depend on a worker's time zone
+    is_time = lambda side, c: isinstance(frames[side].schema[c].dataType, (T.TimestampType, T.TimestampNTZType))
+    plain = {side: [(to_us(c) if is_time(side, c) else F.col(f"`{c}`")).alias(f"{side}{i}") for i, c in enumerate(names[side])] for side in "lr"}
+    for side in "lr":
+        schemas[side] = [(f.name, f.dataType) for f in frames[side].select(*plain[side]).schema] if plain[side] else []
+
+    def tagged(side, ts, number, tb):
+        other = "r" if side == "l" else "l"
+        cols = plain[side], [F.lit(None).cast(t).alias(n) for n, t in schemas[other]]
+        return frames[side].select(F.col(key).alias("_key"), F.col(ts).alias("_t"), to_us(ts).alias("_us"), F.lit(number).alias("_side"),
+                                   tb.cast("long").alias("_tb"), *cols[0], *cols[1])
+
+    both = tagged("r", right_ts, 0, F.col(tiebreak) if tiebreak else F.lit(0)).unionByName(tagged("l", left_ts, 1, F.lit(0)))
+    kinds = {side: [(n, t.simpleString()) for n, t in schemas[side]] for side in "lr"}
+    out = T.StructType([T.StructField("_key", left.schema[key].dataType), T.StructField("_us", T.LongType())]
+                       + [T.StructField(n, t) for n, t in schemas["l"]] + [T.StructField("_rus", T.LongType())]
+                       + [T.StructField(n, t) for n, t in schemas["r"]])
+    us = None if tolerance is None else duration_us(tolerance)
+    found = both.groupBy("_key").transformWithState(AsofProcessor(["_key"], kinds["l"], kinds["r"], us), out, "Append", "EventTime")
+    back = {side: {c: (from_us(f"{side}{i}", frames[side].schema[c].dataType) if is_time(side, c) else F.col(f"{side}{i}"))
+                   for i, c in enumerate(names[side])} for side in "lr"}
+    of = {key: F.col("_key"), left_ts: from_us("_us"), right_ts: from_us("_rus")} | back["l"] | back["r"]
+    return found.select(*[of[c].alias(c) for c in [*left.columns, *[c for c in right.columns if c != key]]])
+
+
 # K3 ------------------------------------------------------------------------
 def _earliest(rows: list, room: int) -> list:
     """The ``room`` earliest rows by (time, tiebreak), nulls first."""

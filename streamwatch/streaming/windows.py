@@ -258,6 +258,19 @@ def stream_window_aggregate(df: DataFrame, ts: str, keys: list[str], size, slide
                        *keys, *[value(*spec).alias(name) for name, spec in aggs.items()])
 
 
+def stream_window_updates(df: DataFrame, ts: str, keys: list[str], size, slide=None, lateness="1 hour", **aggs: tuple[str, str]) -> DataFrame:
+    """Windows as they change, for ``sources.upserts.write_upserts`` (update mode): count, sum, min, max, avg.
+
+    A row up to ``lateness`` behind the newest event corrects its windows, also those
+    given out before; state is dropped after that. ``avg`` and the others are Spark's own
+    aggregates over ``window(ts, size, slide)``: an event enters ``size / slide`` windows.
+    """
+    of = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
+    w = F.window(ts, interval_literal(size), interval_literal(slide or size)).alias("_window")
+    return (with_delay(df, ts, lateness).groupBy(w, *keys).agg(*[of[kind](col).alias(name) for name, (kind, col) in aggs.items()])
+            .select(F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), *keys, *aggs))
+
+
 def _stream_panes(df, ts, keys, size_us, slide_us, k, delay, out):
     gkeys = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
@@ -405,6 +418,14 @@ def stream_topn(counts: DataFrame, n: int, key_cols: list[str], order_col: str =
             .transformWithState(TopNProcessor(n, win, key_cols, order_col, rank_col), schema, "Append", "None"))
 
 
+def stream_sessions(df: DataFrame, key: str, ts: str, gap, delay="0 seconds") -> DataFrame:
+    """Session windows in append mode: one state row for each open session; a session is given out when the
+    watermark has passed its end."""
+    w = F.session_window(ts, interval_literal(gap)).alias("_s")
+    return (with_delay(df, ts, delay).groupBy(w, key).agg(F.count(F.lit(1)).alias("n"))
+            .select(key, F.col("_s.start").alias("session_start"), F.col("_s.end").alias("session_end"), "n"))
+
+
 def stream_pv(df: DataFrame, ts: str, size="1 hour", delay="0 seconds") -> DataFrame:
     return stream_window_count(df, ts, [], size, delay=delay, out="pv")
 

@@ -9,9 +9,9 @@ from streamwatch.plans.jobs import JOBS
 
 SF = "/root/testdata/sf0.001"
 # how many times a query may read the events table (see README, "Read once")
-EVENT_READS = {"reconcile": 4, "reconcile_ok": 2}
+EVENT_READS = {"reconcile": 4, "reconcile_ok": 2, "last_view": 2}
 GROUP_LIMIT = {"hot_items", "hot_pages", "ad_blacklist_alerts", "ad_blacklist_counts"}
-FILTERED = {"hot_items", "pv_uv", "pv_uv_sql", "uv_approx", "channel_promo", "ad_by_region",
+FILTERED = {"hot_items", "pv_uv", "pv_uv_sql", "uv_approx", "uv_bloom", "channel_promo", "ad_by_region", "ad_rollup", "last_view",
             "order_timeout", "reconcile", "reconcile_ok"}
 
 

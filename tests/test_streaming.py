@@ -249,6 +249,7 @@ SAME_ROWS = {
     "order_timeout": ("order_timeout", None), "reconcile": ("reconcile", None), "reconcile_ok": ("reconcile_ok", None),
     "temp_rising": ("temp_rising", None), "temp_split": ("temp_split", None),
     "uv_bloom": ("uv_bloom", None), "window_extremes": ("window_extremes", None), "sliding_uv": ("sliding_uv", None),
+    "user_sessions": ("user_sessions", None), "last_view": ("last_view", None),
 }
 
 
@@ -276,7 +277,7 @@ def test_stream_job_equals_batch_query(spark, events_source, name, monkeypatch):
     want = want.select(*[F.col(c).cast("timestamp") if t == "timestamp_ntz" else F.col(c) for c, t in want.dtypes])
     if "user_id" in got.columns:
         got = got.where("user_id <> -1 or user_id is null")
-    if query in ("temp_split", "hot_pages"):  # these keep events of every type: not the sentinel's own
+    if query in ("temp_split", "hot_pages", "sliding_uv"):  # these keep events of every type: not the sentinel's own
         last = spark.read.parquet(f"{sf}/events.parquet").agg(F.max("ts")).first()[0]
         time_col = "ts" if "ts" in got.columns else "window_start"
         got = got.where(F.col(time_col) <= F.lit(last).cast("timestamp"))
