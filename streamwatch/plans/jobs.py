@@ -294,7 +294,7 @@ def temp_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # sessions and as-of values -------------------------------------------------
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of a user's events less than six hours apart."""
+    """Runs of a user's events at most six hours apart."""
     return sessions(events(spark, sf_dir).select("ts", "user_id"), "user_id", "ts", P["user_sessions"]["gap"])
 
 

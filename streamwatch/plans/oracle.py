@@ -89,7 +89,7 @@ SELECT make_timestamp(ws) AS window_start, make_timestamp(ws + 3600000000) AS wi
 
 
 USER_SESSIONS = """
-WITH e AS (SELECT user_id, ts, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 21600000000, true) AS fresh
+WITH e AS (SELECT user_id, ts, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w > 21600000000, true) AS fresh
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nth
       FROM (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS event_id FROM e) AS e)

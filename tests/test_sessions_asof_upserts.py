@@ -38,7 +38,7 @@ def brute_sessions(rows, gap):
         start = last = times[0]
         n = 1
         for t in times[1:]:
-            if (t - last).total_seconds() >= gap:
+            if (t - last).total_seconds() > gap:
                 out.append((k, start, last + timedelta(seconds=gap), n))
                 start, n = t, 0
             last, n = t, n + 1
@@ -53,6 +53,8 @@ def test_sessions_equal_brute_force(spark, bucket):
     rows += [(at(30 * i), "hot", 0.0) for i in range(400)] + [(at(29 * i), "chain", 0.0) for i in range(400)] + [(None, "a", 0.0), (at(5), "one", 0.0)]
     got = sessions(spark.createDataFrame(rows, EVENTS), "key", "ts", "30 seconds", bucket).collect()
     assert sorted(((x.key, x.session_start, x.session_end, x.n) for x in got), key=repr) == brute_sessions(rows, 30)
+    native = spark.createDataFrame(rows, EVENTS).groupBy("key", F.session_window("ts", "30 seconds").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(((x.key, x.w.start, x.w.end, x.n) for x in native.collect()), key=repr) == brute_sessions(rows, 30)
     assert sessions(spark.createDataFrame([], EVENTS), "key", "ts", "30 seconds").count() == 0
     with pytest.raises(ValueError):
         sessions(spark.createDataFrame([], EVENTS), "key", "ts", "0 seconds")
