@@ -52,6 +52,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_memory() -> None:
+    """Give memory that a Python task has freed back to the system: workers live on from stage to stage."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # in the GNU library only
+    if trim is not None:
+        trim(0)
+
+
 def one_row_per_key(df: DataFrame, key: str, text: str) -> DataFrame:
     """``df`` with one row for each value of ``key`` (null is a value): its smallest text.
 

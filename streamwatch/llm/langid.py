@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamwatch.llm.common import release_memory
 
 #: Labelled documents that the model is fitted on: at most so many of each language.
 SAMPLE_PER_LANG = 1000
@@ -25,7 +26,7 @@ SWITCH = 6.0
 SMOOTH = 0.5
 SCRIPT_SHARE = 0.02
 #: Bounds of a worker's memory: words remembered, cells (words x languages) of a round of Viterbi, texts taken from a batch at a time.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 300_000
 MOST_CELLS = 4_000_000
 TEXTS_AT_ONCE = 500
 UNKNOWN = "und"
@@ -254,20 +255,25 @@ def label_languages(docs: DataFrame, model: Model, text: str = "text", switch: f
     """
     names = ("lang_pred", "lang_score", "lang_spans")
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("_lang_text"))
+    # a text that is kept travels once
+    own = text not in keep or docs.schema[text].dataType.simpleString() != "string"
+    rows = docs.select(*keep, *([F.col(text).cast("string").alias("_lang_text")] if own else []))
+    at = len(keep) if own else keep.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())  # bounded: trigrams of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(Model.of(shared.value), switch)
         span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for b in (x.slice(at, TEXTS_AT_ONCE) for x in batches for at in range(0, max(1, x.num_rows), TEXTS_AT_ONCE)):
-            found = list(labeller.label(b.column(b.num_columns - 1).to_pylist()))
+        for b in (x.slice(i, TEXTS_AT_ONCE) for x in batches for i in range(0, max(1, x.num_rows), TEXTS_AT_ONCE)):
+            found = list(labeller.label(b.column(at).to_pylist()))
             spans = [[{"first": a, "end": e, "lang": x} for a, e, x in f[2]] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
+                [*b.columns[:len(keep)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
                  pa.array(spans, span)], names=[*keep, *names])
+        del labeller
+        release_memory()
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(keep)])
     return rows.mapInArrow(run, (fields + ", " if fields else "") +
                            "lang_pred string, lang_score double, lang_spans array<struct<first:int,end:int,lang:string>>")
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamwatch.llm.common import saved
+from streamwatch.llm.common import release_memory, saved
 
 LIMIT = 4096
 END_ID = 1
@@ -165,6 +165,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, end_id: int
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        release_memory()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
         run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")

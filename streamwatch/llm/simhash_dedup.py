@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamwatch.llm.common import fresh, saved
+from streamwatch.llm.common import fresh, release_memory, saved
 from streamwatch.llm.components import connected_components
 
 RADIUS = 3
@@ -71,8 +71,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [signed(simhash64(t)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            fps = [signed(simhash64(t.as_py())) for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["key", "fp"])
+        release_memory()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, fp bigint")
