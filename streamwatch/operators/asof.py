@@ -45,7 +45,9 @@ def asof_join(left: DataFrame, right: DataFrame, key, left_ts: str, right_ts: st
     rows = rows.withColumn("_in", F.last("_r", ignorenulls=True).over(inside))
     last = F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_last")
     along = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = rows.groupBy(*keys, "_b").agg(last).withColumn("_before", F.last("_last", ignorenulls=True).over(along))
+    # the summary counts left rows too, so both branches need the same columns and share one shuffle and one read
+    carry = rows.groupBy(*keys, "_b").agg(last, F.count("_l").alias("_n")).where("_n >= 0")
+    carry = carry.withColumn("_before", F.last("_last", ignorenulls=True).over(along))
     j = _join_back(rows.where("_side = 1"), carry, keys, ["_before"]).withColumn("_m", F.coalesce("_in", "_before"))
     good = F.col("_t").isNotNull()
     if tolerance is not None:
