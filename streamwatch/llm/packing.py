@@ -30,8 +30,11 @@ END_ID = 1
 SALTS = 256
 #: Words whose ids a worker remembers (up to twice as many for a while), and bytes of texts taken together (a longer text alone).
 MOST_WORDS_KNOWN, BYTES_AT_ONCE = 400_000, 8_000_000
-#: Marks that are words of their own after letters, and the first code point of letters not looked at (Greek and Cyrillic lie below).
+#: Marks that are words of their own after letters, and letters that normalization keeps letters without joining them to others.
+#: Only scripts whose letters are letters in every version of Unicode are taken: Latin, Greek and Cyrillic.
 MARKS, MARKED_BELOW = string.punctuation, "\u0530"
+LETTERS = "".join(c for c in map(chr, range(ord(MARKED_BELOW)))
+                  if c.isalpha() and (plain := unicodedata.normalize("NFC", c).lower()).isalpha() and max(plain) < MARKED_BELOW)
 
 
 class WordIds:
@@ -41,6 +44,8 @@ class WordIds:
     so each distinct word is encoded once. Ids are kept as little-endian 32-bit
     numbers. What is remembered is bounded.
 
+    A word of ``LETTERS`` and ``MARKS`` after them is put together from the two,
+    so only letters, A-Z in lower case, and runs of marks are looked up for it.
     New words of letters go to the tokenizer together, as one text, if its
     vocabulary marks the ends of words: the ids are cut where a word ends, and
     each word is encoded for itself if that gives another number of words.
@@ -76,33 +81,10 @@ class WordIds:
             else:
                 yield from self._each(some)
 
-    @staticmethod
-    def _stem(word: str) -> str | None:
-        """The letters at the front, if only ASCII marks follow them and these are a word of their own.
-
-        A letter that normalization takes apart may end in a combining mark, which joins the marks.
-        Only scripts whose letters are letters in every version of Unicode are looked at.
-        """
-        stem = word.rstrip(MARKS)
-        if stem.isascii():
-            return stem if stem.isalpha() else None
-        plain = unicodedata.normalize("NFC", stem).lower()
-        return stem if stem.isalpha() and plain.isalpha() and max(plain) < MARKED_BELOW else None
-
-    def _learn(self, new: set[str]) -> None:
-        known, letters, marked, rest = self.known, [], [], []
-        for w in new:
-            if w.isalpha():
-                letters.append(w)
-            elif (stem := self._stem(w)) is not None:
-                marked.append((w, stem, w[len(stem):]))
-            else:
-                rest.append(w)
-        letters += {stem for _, stem, _ in marked if stem not in new and stem not in known}
-        rest += {marks for _, _, marks in marked if marks not in new and marks not in known}
-        known.update(zip(letters, self._together(letters)))
-        known.update(zip(rest, self._each(rest)))
-        known.update([(w, known[stem] + known[marks]) for w, stem, marks in marked])
+    def _learn(self, new: list[str]) -> None:
+        letters, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        self.known.update(zip(letters, self._together(letters)))
+        self.known.update(zip(rest, self._each(rest)))
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words; new ones are encoded together."""
@@ -112,15 +94,26 @@ class WordIds:
         found = list(map(known.get, words))
         lost = [i for i, x in enumerate(found) if x is None]
         if lost:
-            new = {words[i] for i in lost}
+            new = [words[i] for i in lost]
             known.update([(w, before[w]) for w in new if w in before])
-            new = {w for w in new if w not in before}
-            if new:
-                self._learn(new)
-            for i in lost:
-                found[i] = known[words[i]]
+            self._learn([w for w in new if w not in before])
+            for i, w in zip(lost, new):
+                found[i] = known[w]
         return found
 
+    def _column(self, words: pa.Array) -> pa.Array:
+        """Ids of words that may repeat, by column."""
+        words = words.dictionary_encode()
+        return pa.array(self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words, by column. A combining mark is in neither set, so it leaves its word whole."""
+        marks = pc.utf8_ltrim(words, characters=LETTERS)
+        apart = pc.equal(pc.binary_length(pc.ascii_rtrim(marks, characters=MARKS)), 0)
+        stems = pc.if_else(apart, pc.ascii_lower(pc.ascii_rtrim(words, characters=MARKS)), words)
+        marks = pc.if_else(apart, marks, pa.scalar("", words.type))
+        return pc.binary_join_element_wise(self._column(stems), self._column(marks), pa.scalar(b"", pa.large_binary()))
+
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text (null: none). Words are split, made distinct and put back in place by column."""
         at, n = 0, len(texts)
@@ -130,11 +123,12 @@ class WordIds:
             upto = max(at + 1, int(np.searchsorted(ends, done + BYTES_AT_ONCE, side="right")))
             split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.slice(at, upto - at), ""), "\n", " "), " ")
             words = split.flatten().dictionary_encode()
-            place = words.indices.to_numpy(zero_copy_only=False)
-            found = self._ids(words.dictionary.to_pylist())
-            cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).tolist()
+            ids = self._words(words.dictionary).take(words.indices)  # one run of ids: a text's are a stretch of it
+            _, places, room = ids.buffers()
+            cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+            cuts = np.frombuffer(places, "<i8")[ids.offset + cuts].tolist()
             for a, b in zip(cuts[:-1], cuts[1:]):
-                yield b"".join(map(found.__getitem__, place[a:b].tolist()))
+                yield room[a:b].to_pybytes()
             at = upto
 
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import string
 import struct
 import subprocess
 import sys
@@ -26,6 +27,27 @@ def test_word_ids_equal_the_library():
         assert found == struct.pack(f"<{len(e.ids)}I", *e.ids), repr(text)
 
 
+def test_a_word_is_looked_up_once_however_it_is_written():
+    words = packing.WordIds(queries.tokenizer_json())
+    texts = ["Word word, WORD. word!\nwOrd ... Été, été.", "", None, "Été..."]
+    want = words.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert list(words(pa.array(texts))) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in want]
+    assert set(words.known) == {"word", "Été", "été", "", ",", ".", "!", "..."}
+
+
+def test_capitals_that_normalization_joins_to_marks():
+    words = packing.WordIds(queries.tokenizer_json())
+    texts = [f"{c}{m} a{c}{m}. {c}{m}b, {c}.{m}" for c in string.ascii_letters for m in map(chr, range(0x300, 0x370))]
+    texts += [f"A{chr(c)}B{m} {chr(c)}Z{m} {chr(c).upper()}{m}{chr(c)}" for c in range(0x21, 0x600) for m in ",'"]
+    texts += ["<|EndOfText|>, <|endoftext|>, A<|endoftext|>. <|ENDOFTEXT|>", "\u212a\u030c. K\u030c. J\u030c! It's IT'S 's. 'S", "", "\n", "  "]
+    want = words.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for kind in (pa.string(), pa.large_string()):
+        for text, found, e in zip(texts, words(pa.array(texts, kind)), want, strict=True):
+            assert found == struct.pack(f"<{len(e.ids)}I", *e.ids), repr(text)
+    for text in ("", None, "\n", "  "):
+        assert list(words(pa.array([text], pa.string()))) == [b""]
+
+
 def test_words_are_forgotten_without_changing_ids(monkeypatch):
     rng = random.Random(12)
     texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7))) for _ in range(30)) for _ in range(3000)]
